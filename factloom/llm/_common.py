@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -46,8 +47,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    sweep(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to, so that Spark removes shuffle files of past steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_written(df: DataFrame) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, media, packing, token_file
+from factloom.llm import bpe, media, minhash, packing, token_file
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op3_minhash": minhash.op3_minhash,
         "op6_media": media.op6_media,
         "op7_token_file": token_file.op7_token_file,
         "op8_bpe": bpe.op8_bpe,
