@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, embeddings, media, minhash, packing, token_file
+from factloom.llm import bpe, embeddings, lines, media, minhash, packing, token_file
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op10_embeddings": embeddings.op10_embeddings,
+        "op2_lines": lines.op2_lines,
         "op3_minhash": minhash.op3_minhash,
         "op6_media": media.op6_media,
         "op7_token_file": token_file.op7_token_file,
