@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, embeddings, lines, media, minhash, packing, token_file, toxicity
+from factloom.llm import bpe, embeddings, language, lines, media, minhash, packing, token_file, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_embeddings": embeddings.op10_embeddings,
         "op2_lines": lines.op2_lines,
         "op3_minhash": minhash.op3_minhash,
+        "op4_language": language.op4_language,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_media": media.op6_media,
         "op7_token_file": token_file.op7_token_file,
