@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, embeddings, language, lines, media, minhash, packing, token_file, toxicity
+from factloom.llm import bpe, embeddings, language, lines, media, minhash, packing, quality, token_file, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op6_media": media.op6_media,
         "op7_token_file": token_file.op7_token_file,
         "op8_bpe": bpe.op8_bpe,
+        "op9_quality": quality.op9_quality,
     }
 
 
