@@ -76,3 +76,19 @@ def score_rows(docs: DataFrame, model, score, id_col: str, text_col: str, held_o
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = chosen.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def keep_rows(docs: DataFrame, model, accepts, text_col: str) -> DataFrame:
+    """The rows, with all their columns, whose texts ``accepts`` (model, Arrow column) marks as true.
+
+    Texts and the rest of a row pass through Python together: no join, no shuffle, no key needed.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(accepts(shared.value, batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._common import bytes_view, crc32_mod, slices
-from factloom.llm._fit import class_sample, sigmoid
+from factloom.llm._fit import class_sample, keep_rows, sigmoid
 
 PER_LANGUAGE = 400
 CENTROIDS = 4
@@ -158,6 +158,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, with all their columns, that are not rejected."""
+    model = train(training_rows(docs, id_col, text_col, lang_col))
+    return keep_rows(docs, model, lambda m, texts: ~predict(m, texts)[2], text_col)
+
+
 def op4_language(spark, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from factloom.llm._common import bytes_view, crc32_mod, slices
-from factloom.llm._fit import labelled_texts, score_rows, sigmoid
+from factloom.llm._fit import keep_rows, labelled_texts, score_rows, sigmoid
 from factloom.llm.minhash import word_hashes
 
 PER_CLASS = 1500
@@ -172,14 +172,25 @@ def scores(model: dict | None, column) -> np.ndarray:
     return np.concatenate([_forward(model, (x - model["mean"]) / model["scale"], first)[-1] for x, first in bags(column)])
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.3)."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> dict | None:
+    """The model of a bounded sample of the labelled documents."""
     known = labels.filter(crc32_mod("doc_id", 5) != 0).selectExpr("avg(cast(quality as double)) as share").first()
     share = min(max(known["share"], 0.01), 0.99) if known["share"] is not None else None
-    model = train(labelled_texts(docs, labels, "quality", per_class, id_col, text_col), share)
+    return train(labelled_texts(docs, labels, "quality", per_class, id_col, text_col), share)
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.3)."""
+    model = fit(docs, labels, id_col, text_col, per_class)
     return score_rows(docs, model, scores, id_col, text_col, crc32_mod("doc_id", 5) == 0, THRESHOLD)
 
 
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score ``threshold`` or more."""
+    model = fit(docs, labels, id_col, text_col)
+    return keep_rows(docs, model, lambda m, texts: scores(m, texts) >= threshold, text_col)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

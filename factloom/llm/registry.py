@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from factloom.llm import bpe, embeddings, language, lines, media, minhash, packing, quality, token_file, toxicity
 
 
@@ -17,8 +18,9 @@ def queries() -> dict:
         "op7_token_file": token_file.op7_token_file,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
