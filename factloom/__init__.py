@@ -1,0 +1 @@
+"""Bitemporal knowledge-graph analytics on PySpark."""
