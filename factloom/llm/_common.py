@@ -8,9 +8,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +43,63 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of a row group of a written table.
+GROUP_BYTES = 32 << 20
+
+
+def materialize(df: DataFrame, name: str, compact: bool = False, through: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Write ``df`` as zstd Parquet to the shared folder and read it back.
 
-    The result has no lineage, so the loss of an executor never recomputes what lies before it.
+    The result has no lineage, so the loss of an executor never recomputes what lies before it. Tasks
+    write a file each under a name of their own and report it when it is complete; only reported files
+    are read, so a repeated task adds nothing twice. ``compact``: what many tasks yield little of is
+    first gathered into files of a fair size. ``through``: a function of Arrow batches, applied on the
+    way in the same Python worker, with the ``schema`` of its result.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
+    read_as = df.schema if through is None else spark.createDataFrame([], schema).schema
+    if compact:
+        df = df.hint("rebalance")
+    written = df.mapInArrow(_writer(path, through), "path string")
+    files = [row[0] for row in written.collect()]
+    del df, written
     sweep(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(read_as).parquet(*files) if files else spark.createDataFrame([], read_as)
+
+
+def _writer(path: str, through: Callable | None):
+    def run(batches):
+        store, base = filesystem(path)
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet"
+        writer = stream = None
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush():
+            writer.write_table(pa.Table.from_batches(held))
+            held.clear()
+
+        for batch in through(batches) if through else batches:
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                store.create_dir(base, recursive=True)
+                stream = store.open_output_stream(f"{base}/{name}")
+                writer = pq.ParquetWriter(stream, batch.schema, compression="zstd")
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_BYTES:
+                flush()
+                size = 0
+        if writer is not None:
+            if held:
+                flush()
+            writer.close()
+            stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], names=["path"])
+
+    return run
 
 
 def sweep(spark: SparkSession) -> None:

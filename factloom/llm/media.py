@@ -125,7 +125,7 @@ def npy_bytes(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _map(df: DataFrame, schema: str, fields: list[tuple[str, pa.DataType]], row) -> DataFrame:
+def _rows(fields: list[tuple[str, pa.DataType]], row):
     arrow = pa.schema(fields)
 
     def run(batches):
@@ -141,14 +141,14 @@ def _map(df: DataFrame, schema: str, fields: list[tuple[str, pa.DataType]], row)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text's payload as a PGM image."""
+    """A written table (doc_id, n_bytes, media): every whole text's payload as a PGM image."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = _map(chosen, "doc_id long, n_bytes long, media binary", [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())], lambda key, text: (key, len((text or "").encode()), write_pgm(payload(text))))
-    return made
+    make = _rows([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())], lambda key, text: (key, len((text or "").encode()), write_pgm(payload(text))))
+    return materialize(chosen, "media", through=make, schema="doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -166,13 +166,13 @@ def features(media: DataFrame) -> DataFrame:
         return key, n, image.tobytes(), data, npy_bytes(tile), difference_hash(tile)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("tile", pa.binary()), ("dhash", pa.string())]
-    return _map(media.select("doc_id", "n_bytes", "media"), "doc_id long, n_bytes long, payload binary, media binary, tile binary, dhash string", fields, row)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_rows(fields, row), "doc_id long, n_bytes long, payload binary, media binary, tile binary, dhash string")
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
     """Digests of the stored images of all documents, read back from the table that holds them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = features(materialize(to_media(docs), "media"))
+    found = features(to_media(docs))
     return found.select(
         "doc_id",
         "n_bytes",

@@ -107,8 +107,8 @@ def minima(values: np.ndarray, edges: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: node (its id), n (set size), f1, f2 (128-bit digest of the set, null if
-    empty), s0.. (packed low bits), bands."""
+    """A written table, one row per document: node (its id), n (set size), f1, f2 (128-bit digest of the
+    set, null if empty), s0.. (packed low bits), bands."""
     bands = near.n_bands(percent / 100)
     hashes = bands * near.ROWS
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
@@ -136,14 +136,15 @@ def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "f1", "f2", *sig, "bands"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands array<long>")
+    schema = "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands array<long>"
+    return materialize(chosen, "features", through=run, schema=schema)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id
     (smallest doc_id reachable by links, itself included), kept (doc_id is its component's smallest)."""
     hashes = near.n_bands(percent / 100) * near.ROWS
-    found = materialize(features(docs, words, percent, id_col, text_col), "features")
+    found = features(docs, words, percent, id_col, text_col)
     full = found.filter("n > 0 and node is not null")
     classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")), "classes")
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
@@ -160,8 +161,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return named.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -8,11 +8,12 @@ and bands (array<long>, a key per band).
 2. Star round: each node is paired with the bucket head that it resembles most, by the bit counts of the
    signatures, corrected for chance collisions. Pairs within reach of the threshold are verified on the
    full sets, and components formed.
-3. Only buckets that hold nodes of several components are looked at again: there all nodes of different
-   components are compared by bit counts, in blocks of bounded size, and what may reach the threshold is
-   verified, first the best few of each node, then all that remain. So no link between components that a
-   bucket shows is lost, no bucket is capped, and no bucket's pairs are all written out: a group of a
-   million near copies costs a million verifications in the star round and none later.
+3. Only buckets that hold nodes of several components are looked at again. In a bucket of at most
+   ``SMALL`` nodes all pairs across components within reach are verified like those of the star round.
+   In a larger one the nodes' full sets are compared in blocks of bounded size, all at once by the
+   product of their incidence matrices, and a block yields no more links than connect what it found. So
+   no link between components that a bucket shows is lost, no bucket is capped, and the pairs of a large
+   bucket are never written out.
 """
 
 from __future__ import annotations
@@ -36,10 +37,11 @@ ROWS = 5
 MISS = 1e-5
 #: Standard deviations that an estimate may fall short of the threshold.
 SLACK = 5.0
-#: Nodes of a bucket that one task compares with as many others.
-BLOCK = 1000
-#: Best partners of a node in a bucket that are verified before the rest.
-BEST = 4
+#: Nodes of a bucket whose pairs may be written out.
+SMALL = 32
+#: Nodes of a larger bucket that one task compares with as many others, and shingles compared at a time.
+BLOCK = 500
+COLUMNS = 4096
 _ODD_LANES = 0x5555555555555555
 
 
@@ -142,30 +144,24 @@ def verify(pairs: DataFrame, texts: DataFrame, to_set: Callable[[str], np.ndarra
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, good boolean")
+    return materialize(both.select("a", "b", "text_a", "text_b"), "tested", through=run, schema="a long, b long, good boolean")
 
 
-def _compare(words: int, most: int, best: int | None):
-    """Rows of sorted buckets (key, part_a, part_b, side, node, component, s0..) to pairs within reach."""
+def _by_group(width: int, compared: Callable):
+    """A function of Arrow batches of rows sorted by their first ``width`` columns: whole groups, as lists
+    of columns, go through ``compared``, which returns arrays a and b of pairs."""
 
-    def pairs_of(side, node, component, signature):
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both
-        if not len(left) or not len(right):
-            return node[:0], node[:0]
-        apart = np.zeros((len(left), len(right)), np.uint16)
-        for w in range(words):
-            x = signature[left, w][:, None] ^ signature[right, w][None, :]
-            apart += np.bitwise_count((x >> np.uint64(1) | x) & np.uint64(_ODD_LANES))
-        near = (apart <= most) & (component[left][:, None] != component[right][None, :])
-        if best and len(right) > best:
-            rank = np.where(near, apart, np.uint16(65535))
-            few = np.argpartition(rank, best - 1, axis=1)[:, :best]
-            chosen = np.zeros_like(near)
-            np.put_along_axis(chosen, few, True, axis=1)
-            near &= chosen
-        i, j = np.nonzero(near)
-        a, b = node[left[i]], node[right[j]]
-        return np.minimum(a, b), np.maximum(a, b)
+    def edges_of(columns):
+        change = np.any([c[1:] != c[:-1] for c in columns[:width]], axis=0)
+        n = len(columns[0])
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]) if n else np.zeros(1, np.int64)
+
+    def found(columns, edges):
+        pairs = [compared([c[start:end] for c in columns[width:]]) for start, end in zip(edges[:-1], edges[1:])]
+        pairs = [p for p in pairs if len(p[0])]
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         rest: list[np.ndarray] | None = None
@@ -174,50 +170,95 @@ def _compare(words: int, most: int, best: int | None):
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns)]
             edges = edges_of(columns)
-            yield from compared(columns, edges[:-1])
+            yield from found(columns, edges[:-1])
             rest = [c[edges[-2] :] for c in columns] if len(edges) > 1 else None
         if rest is not None:
-            yield from compared(rest, edges_of(rest))
+            yield from found(rest, edges_of(rest))
 
-    def edges_of(columns):
-        """Where the groups of (key, part_a, part_b) begin, and the end."""
-        change = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-        n = len(columns[0])
-        return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]) if n else np.zeros(1, np.int64)
+    return run
 
-    def compared(columns, edges):
-        found = []
-        for start, end in zip(edges[:-1], edges[1:]):
-            side, node, component, *signature = (c[start:end] for c in columns[3:])
-            a, b = pairs_of(side, node, component, np.stack(signature, axis=1).view(np.uint64))
-            if len(a):
-                found.append((a, b))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return run
+def _within_reach(signature: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of rows differ in few enough lanes."""
+    apart = np.zeros((len(left), len(right)), np.uint16)
+    for word in signature:
+        word = word.view(np.uint64)
+        x = word[left][:, None] ^ word[right][None, :]
+        apart += np.bitwise_count((x >> np.uint64(1) | x) & np.uint64(_ODD_LANES))
+    return apart <= most
+
+
+def _small(most: int):
+    """Pairs across components within reach, of a small bucket (node, component, s0..)."""
+
+    def compared(columns):
+        node, component, *signature = columns
+        every = np.arange(len(node))
+        close = _within_reach(signature, every, every, most) & (component[:, None] < component[None, :])
+        i, j = np.nonzero(close)
+        return node[i], node[j]
+
+    return _by_group(1, compared)
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set (sorted arrays without repeats)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    shared = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    places = [np.searchsorted(shared, v) for v in values]
+    hit = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == v) if len(shared) else np.zeros(len(v), bool) for p, v in zip(places, values)]
+    for at in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - at)
+        parts = []
+        for side, x in enumerate((left, right)):
+            own = hit[side] & (places[side] >= at) & (places[side] < at + width)
+            matrix = np.zeros((len(x), width), np.float32)
+            matrix[rows[side][own], places[side][own] - at] = 1
+            parts.append(matrix)
+        out += parts[0] @ parts[1].T
+    return out
 
 
-def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, words: int, most: int, best: int | None) -> DataFrame:
-    """Pairs of nodes of one bucket but different components whose signatures are within reach."""
-    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    chosen = named.join(mixed.select("key", "n"), "key").join(signatures, "node")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("node"), parts)).cast("int")
-    dealt = chosen.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
-        "key",
-        F.least("own", "other").alias("part_a"),
-        F.greatest("own", "other").alias("part_b"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "component",
-        *[f"s{i}" for i in range(words)],
-    )
-    order = ["key", "part_a", "part_b"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(words, most, best), "a long, b long").distinct()
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Some links (row, column) of a block that connect what all its links connect."""
+    out = []
+    rows, free = np.zeros(len(linked), bool), np.ones(linked.shape[1], bool)
+    for start in range(len(linked)):
+        todo = [] if rows[start] else [start]
+        rows[start] = True
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & free):
+                free[j] = False
+                out.append((i, j))
+                for k in np.flatnonzero(linked[:, j] & ~rows):
+                    rows[k] = True
+                    out.append((k, j))
+                    todo.append(k)
+    return out
+
+
+def _large(most: int, to_set: Callable[[str], np.ndarray], percent: int):
+    """Links across components of a block (side, node, component, text, s0..); side 0 left, 1 right, 2 both."""
+
+    def compared(columns):
+        side, node, component, text, *signature = columns
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        close = _within_reach(signature, left, right, most) & (component[left][:, None] != component[right][None, :])
+        left, right = left[close.any(1)], right[close.any(0)]
+        if not len(left):
+            return node[:0], node[:0]
+        sets = {i: to_set(text[i]) for i in {*left.tolist(), *right.tolist()}}
+        a, b = [sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()]
+        common = intersections(a, b).astype(np.int64)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
+        linked = (common > 0) & (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
+        pairs = np.array(spanning(linked), np.int64).reshape(-1, 2)
+        return node[left[pairs[:, 0]]], node[right[pairs[:, 1]]]
+
+    return _by_group(3, compared)
 
 
 def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int) -> DataFrame:
@@ -239,19 +280,26 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     heads = heads.join(signatures.select(F.col("node").alias("head"), *[F.col(s).alias(f"r{s[1:]}") for s in sig]), "head")
     heads = heads.withColumn("apart", differing("l", "r", words)).filter(F.col("apart") <= most)
     star = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
-    pairs = star.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    tested = materialize(verify(pairs, texts, to_set, percent), "tested")
+    tested = verify(star.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, to_set, percent)
     labels = materialize(connected_components(tested.filter("good")), "labels")
-    for best in (BEST, None):
-        pairs = across(members, labels, signatures, words, most, best).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if best is None:
-                break
-            continue
-        more = materialize(verify(pairs, texts, to_set, percent), "tested")
-        tested = tested.union(more)
-        if not more.filter("good").isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = materialize(connected_components(known.union(more.filter("good").select("a", "b"))), "labels")
-    return labels
+
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    mixed = materialize(named.join(mixed.select("key", "n"), "key").join(signatures, "node"), "mixed")
+    small = mixed.filter(F.col("n") <= SMALL).select("key", "node", "component", *sig).repartition("key").sortWithinPartitions("key")
+    pairs = materialize(small, "pairs", through=_small(most), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = verify(pairs, texts, to_set, percent).filter("good").select("a", "b")
+
+    large = mixed.filter(F.col("n") > SMALL)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("node"), parts)).cast("int")
+    dealt = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
+    dealt = dealt.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), side, "node", "component", *sig).join(texts, "node")
+    order = ["key", "part_a", "part_b"]
+    dealt = dealt.select(*order, "side", "node", "component", "text", *sig).repartition(*order).sortWithinPartitions(*order)
+    links = links.union(materialize(dealt, "blocks", through=_large(most, to_set, percent), schema="a long, b long"))
+    if links.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(known.union(links)), "labels")

@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = chosen.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
     ordered = named.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
-    files = materialize(ordered.mapInArrow(run, "shard long, path string, bytes long, n_docs long, n_ids long"), "manifest")
+    files = materialize(ordered, "manifest", through=run, schema="shard long, path string, bytes long, n_docs long, n_ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
