@@ -1,8 +1,7 @@
 """Toxicity by compression distance: windows of a text against two zstandard dictionaries.
 
 Training (on a bounded sample of labelled documents, ``PER_CLASS`` of each class). Toxic text is, of the
-toxic documents, the words that stand in many different contexts there and hardly ever in ordinary
-documents; ordinary text is windows of the ordinary documents. A dictionary is trained by zstandard on
+toxic documents, the words that stand in many unrelated ones and hardly ever in ordinary documents; ordinary text is windows of the ordinary documents. A dictionary is trained by zstandard on
 each. The ordinary dictionary is used with neutral padding in front, the toxic one in front of the same
 ordinary one, so that both are equally long and differ by the toxic material alone. A window's gain is
 the number of bytes that the toxic dictionary saves over the ordinary one. Thresholds on the largest
@@ -21,16 +20,18 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from factloom.llm._common import crc32_mod
+from factloom.llm import near
+from factloom.llm._common import bytes_view, crc32_mod, slices
 from factloom.llm._fit import labelled_texts, logistic, logistic_score, score_rows
+from factloom.llm.minhash import minima, shingle_sets
 
 PER_CLASS = 2000
 WINDOWS = (64, 192)
-BASE_BYTES = 16_384
+BASE_BYTES = 32_768
 TOXIC_BYTES = 8_192
-#: A toxic word: at least 5 contexts and one for every hundred toxic documents; ten times as frequent
-#: in toxic documents as in others.
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 5, 0.01, 10
+#: A toxic word: in at least 4 unrelated toxic documents and one of every hundred; in twenty times as
+#: many of them as of the ordinary ones.
+LEAST_FAMILIES, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 20
 #: Shortest match of the compressor.
 MATCH = 6
 THRESHOLD = 0.5
@@ -55,21 +56,46 @@ def windows(text: str | None, size: int) -> list[bytes]:
     return out or [b""]
 
 
+def families(texts: list[str]) -> list[int]:
+    """A number per text, equal for texts that share a pair of minima of their shingles: near copies."""
+    import pyarrow as pa
+
+    parent = list(range(len(texts)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first: dict[int, int] = {}
+    data, offsets = bytes_view(pa.array(texts, pa.string()))
+    for i, j in slices(offsets, 1 << 20):
+        values, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 3)
+        some = np.flatnonzero(np.diff(edges))
+        if len(some):
+            keys = near.band_keys(minima(values, np.append(edges[some], len(values)), 16), 8, 2)
+            for at, row in zip((some + i).tolist(), keys.tolist()):
+                for key in row:
+                    parent[root(at)] = root(first.setdefault(key, at))
+    return [root(x) for x in range(len(texts))]
+
+
 def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words that mark toxic documents, by the number of distinct contexts."""
-    contexts: dict[bytes, set[int]] = {}
-    for text in toxic:
-        words = [b"", *_words(text), b""]
-        for before, word, after in zip(words, words[1:], words[2:]):
-            contexts.setdefault(word, set()).add(hash((before, after)))
+    """The words that mark toxic documents, commonest first: those of several unrelated toxic documents
+    that ordinary documents hardly ever hold."""
+    found: dict[bytes, set[int]] = {}
+    related = families(toxic)
+    for text, family in zip(toxic, related):
+        for word in _words(text):
+            found.setdefault(word, set()).add(family)
     usual: dict[bytes, int] = {}
     for text in ordinary:
-        for word in _words(text):
-            if word in contexts:
+        for word in set(_words(text)):
+            if word in found:
                 usual[word] = usual.get(word, 0) + 1
-    ours, theirs = sum(map(len, contexts.values())), max(1, sum(len(_words(t)) for t in ordinary))
-    least = max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
-    marks = [(len(c), w) for w, c in contexts.items() if len(c) >= least and usual.get(w, 0) * ours * LEAST_RATIO <= len(c) * theirs]
+    ours, theirs = len(set(related)), max(1, len(ordinary))
+    least = max(LEAST_FAMILIES, LEAST_SHARE * ours)
+    marks = [(len(f), w) for w, f in found.items() if len(f) >= least and usual.get(w, 0) * ours * LEAST_RATIO <= len(f) * theirs]
     return [w for _, w in sorted(marks, reverse=True)]
 
 
@@ -87,11 +113,14 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     if not toxic or not ordinary:
         return None
     draw = random.Random(5)
-    usual = [w for text in ordinary for ws in [windows(text, WINDOWS[0])] for w in draw.sample(ws, min(6, len(ws)))]
+    usual = [w for text in ordinary for ws in [windows(text, WINDOWS[0])] for w in draw.sample(ws, min(24, len(ws)))]
     base = _trained(BASE_BYTES, usual)
-    marks = set(toxic_words(toxic, ordinary))
+    words = toxic_words(toxic, ordinary)
+    marks = set(words)
     seen = [b" " + w + b" " for text in toxic for w in _words(text) if w in marks]
     marked = _trained(TOXIC_BYTES, seen) if seen else b""
+    left_out = [w for w in words if b" " + w + b" " not in marked]  # the commonest last, where offsets are short
+    marked += b" " * bool(left_out) + b"".join(w + b" " for w in left_out[::-1])[-TOXIC_BYTES:]
     padding = bytes(draw.choices(range(1, 9), k=len(marked)))
     model = {"ordinary": padding + base, "toxic": marked + base, "fit": None}
     x = np.array([gains(model, text) for text, _ in rows])
@@ -109,7 +138,7 @@ def compressors(model: dict) -> tuple:
         _COMPRESSORS.clear()
         made = []
         for name in ("ordinary", "toxic"):
-            settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=MATCH, target_length=0, strategy=zstandard.STRATEGY_LAZY2, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
+            settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=17, search_log=6, min_match=MATCH, target_length=0, strategy=zstandard.STRATEGY_LAZY2, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
             words = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=settings)
             made.append(zstandard.ZstdCompressor(dict_data=words, compression_params=settings).compress)
