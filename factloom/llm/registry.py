@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from factloom.llm import bpe, embeddings, language, lines, media, minhash, packing, quality, token_file, toxicity
+from factloom.llm import bpe, embeddings, language, lines, media, minhash, oracle, packing, quality, token_file, toxicity
 
 
 def queries() -> dict:
@@ -23,4 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op3_minhash": oracle.OP3, "op10_embeddings": oracle.OP10}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
