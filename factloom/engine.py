@@ -112,10 +112,10 @@ class Engine:
         row = plans.answer(source, self.facts(), tenant).first()
         return {"text": row["text"], "citations": [c.asDict() for c in row["citations"]]}
 
-    def retrieve(self, similar_to: str | None, budget: int, at: AsOf | None = None, tenant: int = DEFAULT_TENANT) -> tuple[DataFrame, DataFrame]:
+    def retrieve(self, similar_to: str | None, budget: int, at: AsOf | None = None, tenant: int = DEFAULT_TENANT) -> retrieval.Subgraph:
         """Edges and nodes (by first appearance) of the context that fits a budget."""
         cut = retrieval.within_budget(retrieval.ranked_facts(self.facts(), at, similar_to, tenant), budget)
-        return cut, retrieval.subgraph_nodes(cut)
+        return retrieval.Subgraph(nodes=retrieval.subgraph_nodes(cut), edges=cut)
 
     # -- communities and entities
 

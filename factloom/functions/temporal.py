@@ -52,6 +52,12 @@ def as_of(facts: DataFrame, at: AsOf, tenant: int | None = None) -> DataFrame:
     return found if tenant is None else found.filter(F.col("tenant") == tenant)
 
 
+def active_at(facts: DataFrame, at: AsOf) -> DataFrame:
+    """Edge ids active at a point, whatever the tenant: what an interval index would answer. Files sorted by
+    valid_from let the scan skip by their statistics."""
+    return facts.filter(visible_at(at)).select("edge_id")
+
+
 def open_span(df: DataFrame, valid_from: Column, tx_from: Column) -> DataFrame:
     """Span columns open at both ends."""
     none = F.lit(None).cast("long")

@@ -6,6 +6,8 @@ before the running sum, and the only unpartitioned window sees a bounded number
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,19 @@ from factloom.operators.fulltext import bm25
 DEFAULT_BUDGET = 4096
 
 
+@dataclass(frozen=True)
+class Subgraph:
+    """Parts of the graph that answer a question; a part may be missing."""
+
+    nodes: DataFrame | None = None
+    edges: DataFrame | None = None
+    episodes: DataFrame | None = None
+    communities: DataFrame | None = None
+
+    def is_empty(self) -> bool:
+        return all(part is None or part.isEmpty() for part in (self.nodes, self.edges, self.episodes, self.communities))
+
+
 def sentences(facts: DataFrame) -> DataFrame:
     """Adds the sentence of a fact."""
     return facts.withColumn("sentence", verbalize(F.col("subject"), F.col("predicate"), F.col("object")))

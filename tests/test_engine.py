@@ -3,12 +3,14 @@
 import io
 import itertools
 import json
+import threading
 
 import pytest
 
 from factloom.engine import Engine
-from factloom.errors import NotFoundError
+from factloom.errors import NotFoundError, QueryError
 from factloom.functions.temporal import AsOf
+from factloom.http import Client, make_server
 from factloom.service import Service, tenant_of
 
 
@@ -32,8 +34,9 @@ def test_current_and_historical(engine):
     engine.add_memory("Bob", "works_in", "Tokyo", 500, 30, 1, "append")
     cut = engine.answer("MATCH (n) TRAVERSE SEMANTIC(budget = 3 tokens) RETURN CONTEXT(cite = false)")
     assert cut == {"text": "- Bob works_in Tokyo", "citations": []}
-    edges, nodes = engine.retrieve(None, 100)
-    assert edges.count() == 2 and [r.name for r in nodes.orderBy("position").collect()] == ["Bob", "Tokyo", "Alice", "Shanghai"]
+    part = engine.retrieve(None, 100)
+    assert not part.is_empty() and engine.retrieve("nothing", 100).is_empty()
+    assert part.edges.count() == 2 and [r.name for r in part.nodes.orderBy("position").collect()] == ["Bob", "Tokyo", "Alice", "Shanghai"]
     engine.retract(3, 5)
     assert "Bob" not in engine.answer("MATCH (n) RETURN CONTEXT()")["text"]
     with pytest.raises(NotFoundError):
@@ -107,3 +110,21 @@ def test_tools(engine):
     out = io.StringIO()
     service.serve(io.StringIO('{"id": 1, "method": "initialize"}\n\nnot json\n'), out)
     assert [("result" in a, a.get("error", {}).get("code")) for a in map(json.loads, out.getvalue().splitlines())] == [(True, None), (False, -32700)]
+
+
+def test_http(engine):
+    server = make_server(Service(engine), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        client = Client(url, tenant=3)
+        assert client.healthy() and client.add_memory("Alice", "lives_in", "Beijing", 1000, 10, 1) == 1
+        assert "Beijing" in client.search(ASK)["text"] and Client(url).search(ASK)["text"] == ""
+        assert len(client.communities()) == 1 and client.resolve(0.9, dry_run=True)["merged"] == 0
+        with pytest.raises(QueryError):
+            client.search("MATCH ( <bad")
+        with pytest.raises(NotFoundError):
+            client._call("GET", "/nowhere")
+    finally:
+        server.shutdown()
+        server.server_close()

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from factloom.functions.temporal import AsOf, as_of
+from factloom.functions.temporal import AsOf, active_at, as_of
 from factloom.operators import facts
 from factloom.schema import OPS
 
@@ -46,6 +46,7 @@ def test_moved_cities(spark):
     found = facts.spans(frame(spark, ops))
     assert {r.edge_id: r.valid_to for r in found.collect()} == {1: 2000, 2: None}
     ids = lambda at: [r.edge_id for r in as_of(found, at).collect()]
+    assert [r.edge_id for r in active_at(found, AsOf.valid(1500)).collect()] == [1]
     assert ids(AsOf.now()) == [2] and ids(AsOf.valid(1500)) == [1] and ids(AsOf.transaction(15)) == []
 
 
