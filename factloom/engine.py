@@ -14,7 +14,7 @@ from factloom.errors import NotFoundError
 from factloom.functions.temporal import AsOf, as_of
 from factloom.operators import dictionary, facts as fact_ops, graph, resolution, retrieval
 from factloom.plans import compile as plans
-from factloom.schema import APPEND, DEFAULT_TENANT, MAX_TIME, OPS, UNIQUE
+from factloom.schema import DEFAULT_TENANT, MAX_TIME, OPS, UNIQUE
 from factloom.sources.oplog import OperationLog
 
 
@@ -154,6 +154,3 @@ class Engine:
         seq, _ = self.log.counters()
         self._append([{"ingest_seq": seq + i, "op": "merge", "tenant": tenant, "subject": names[r["node"]], "object": names[r["survivor"]], "tx_time": self.clock()} for i, r in enumerate(gone)])
         return {"merged": len(gone), "candidates": found}
-
-
-__all__ = ["APPEND", "UNIQUE", "Engine"]
