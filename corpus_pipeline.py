@@ -33,8 +33,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which no line is left go, as their lines stay elsewhere."""
     found = lines.dedup_lines(docs.select(*COLUMNS))
-    changed = F.col("n_kept") < F.col("n_lines")
-    left = found.filter((F.col("n_lines") == 0) | (F.col("n_kept") > 0))
+    changed = F.col("n_removed") > 0
+    left = found.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -18,19 +18,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges that a task of a round takes at least.
+TASK_EDGES = 200_000
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One half round. Edges have u > v; large-star links the larger neighbours of every node to its
     smallest neighbour, small-star the smaller ones and the node itself."""
     if large:
         arcs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         arcs = edges
-    least = materialize(arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    least = materialize(arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(tasks), "least")
     if large:
         moved = edges.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
     else:
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    after = materialize(moved.filter("u > v").distinct(), "edges")
+    after = materialize(moved.filter("u > v").distinct().coalesce(tasks), "edges")
     drop_written(least)
     return after
 
@@ -44,7 +48,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(start, "edges")
     state = _state(edges)
     while state[0]:
-        after = _star(_star(edges, large=True), large=False)
+        tasks = -(-state[0] // TASK_EDGES)
+        after = _star(_star(edges, True, tasks), False, tasks)
         now = _state(after)
         drop_written(edges)
         edges = after

@@ -16,10 +16,9 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ _PLAIN = np.full(256, 0x20, np.uint8)
 _PLAIN[0x61:0x7B] = np.arange(0x61, 0x7B)
 _PLAIN[0x41:0x5B] = np.arange(0x61, 0x7B)
 _PLAIN[0x80:] = np.arange(0x80, 0x100)
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def gram_counts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:

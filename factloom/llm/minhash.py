@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from factloom.llm import near
 from factloom.llm._common import bytes_view, materialize, slices
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

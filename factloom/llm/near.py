@@ -92,11 +92,11 @@ def hash_parameters(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return drawn[:hashes] | np.uint64(1), drawn[hashes:]
 
 
-def reach(threshold: float, hashes: int) -> int:
+def reach(threshold: float, hashes: int, slack: float = SLACK) -> int:
     """Most differing lanes of a pair that may still reach the threshold."""
     chance = 2.0**-BITS
     agree = chance + (1 - chance) * threshold
-    return math.floor(hashes * (1 - agree) + SLACK * math.sqrt(hashes * agree * (1 - agree)))
+    return math.floor(hashes * (1 - agree) + slack * math.sqrt(hashes * agree * (1 - agree)))
 
 
 def differing(left: str, right: str, words: int) -> Column:
@@ -261,12 +261,12 @@ def _large(most: int, to_set: Callable[[str], np.ndarray], percent: int):
     return _by_group(3, compared)
 
 
-def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int) -> DataFrame:
+def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int, slack: float = SLACK) -> DataFrame:
     """(node, component) of every node that is linked to another; the label is the smallest node.
 
     ``texts`` takes a table of nodes and returns (node, text) of them, one row each.
     """
-    words, most = n_words(hashes), reach(percent / 100, hashes)
+    words, most = n_words(hashes), reach(percent / 100, hashes, slack)
     sig = [f"s{i}" for i in range(words)]
     banded = features.select("node", F.explode("bands").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head"), "buckets")
@@ -281,7 +281,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     heads = heads.withColumn("apart", differing("l", "r", words)).filter(F.col("apart") <= most)
     star = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
     tested = verify(star.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, to_set, percent)
-    labels = materialize(connected_components(tested.filter("good")), "labels")
+    labels = connected_components(tested.filter("good"))
 
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
@@ -302,4 +302,4 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     if links.isEmpty():
         return labels
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(connected_components(known.union(links)), "labels")
+    return connected_components(known.union(links))

@@ -9,7 +9,7 @@ import pytest
 from factloom.llm import _fit, language, quality, toxicity
 
 SF = "/root/testdata/sf0.1"
-ODD = [None, "", " \n", "12 !? 34", "a", "word " * 30_000, "same text", "same text"]
+ODD = [None, "", " \n", "12² !? 34 Ⅷ", "a", "word " * 30_000, "same text", "same text"]
 
 
 @pytest.fixture(scope="module")
