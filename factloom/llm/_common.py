@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,13 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers also look for this package where the driver found it.
+
+    Serves drivers that import the package from a path of their own; on a cluster where that path is
+    missing it changes nothing, and the package comes by ``--py-files`` or an installation.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder."""
     return f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 #: Bytes of a row group of a written table.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 
 
 def materialize(df: DataFrame, name: str, compact: bool = False, through: Callable | None = None, schema: str | None = None) -> DataFrame:
@@ -61,13 +77,42 @@ def materialize(df: DataFrame, name: str, compact: bool = False, through: Callab
     read_as = df.schema if through is None else spark.createDataFrame([], schema).schema
     if compact:
         df = df.hint("rebalance")
-    written = df.mapInArrow(_writer(path, through), "path string")
+    written = df.mapInArrow(tidy(_writer(path, through)), "path string")
     files = [row[0] for row in written.collect()]
     del df, written
     sweep(spark)
     return spark.read.schema(read_as).parquet(*files) if files else spark.createDataFrame([], read_as)
 
 
+def settle() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches that settles after every batch and at the end."""
+
+    def tidied(batches):
+        def fed():
+            for batch in batches:
+                yield batch
+                batch = None
+                settle()
+
+        yield from run(fed())
+        settle()
+
+    return tidied
+
+
 def _writer(path: str, through: Callable | None):
     def run(batches):
         store, base = filesystem(path)
@@ -86,7 +131,7 @@ def _writer(path: str, through: Callable | None):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 stream = store.open_output_stream(f"{base}/{name}")
-                writer = pq.ParquetWriter(stream, batch.schema, compression="zstd")
+                writer = pq.ParquetWriter(stream, batch.schema, compression="zstd", use_dictionary=False)
             held.append(batch)
             size += batch.nbytes
             if size >= GROUP_BYTES:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._common import crc32_mod, tidy
+
 _RANGE = float(1 << 63)
 
 
@@ -27,8 +29,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class
     """(text, label) of the sample of each class, in the order of doc_id. Rows whose crc32(doc_id as text)
     is divisible by 5 are never taken. The sample's ids number about ``per_class`` per class: a bounded
     table, which is broadcast."""
-    from factloom.llm._common import crc32_mod
-
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("__label")).filter("__label in (0, 1)")
     chosen = class_sample(known.filter(crc32_mod("__id", 5) != 0), "__label", "__id", per_class)
     own = docs.select(F.col(id_col).cast("long").alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -74,7 +74,7 @@ def score_rows(docs: DataFrame, model, score, id_col: str, text_col: str, held_o
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = chosen.mapInArrow(run, "doc_id long, score double")
+    scored = chosen.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -91,4 +91,4 @@ def keep_rows(docs: DataFrame, model, accepts, text_col: str) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(accepts(shared.value, batch.column(at)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._common import tidy
+
 #: Characters of a text that are encoded at a time, and rows of a returned batch.
 PART_CHARS = 1 << 16
 BATCH_IDS = 1 << 20
@@ -93,7 +95,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         yield from _rows(batches, {id_col: pa.int64(), "ids": pa.list_(pa.int32())}, row)
 
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return chosen.mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    return chosen.mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -109,7 +111,7 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
         yield from _rows(batches, {id_col: pa.int64(), "decoded": pa.binary()}, row)
 
     chosen = coded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col))
-    return chosen.mapInArrow(run, f"`{id_col}` long, decoded binary")
+    return chosen.mapInArrow(tidy(run), f"`{id_col}` long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +127,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         yield from _rows(batches, {id_col: pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}, row)
 
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    return chosen.mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded binary")
+    return chosen.mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>, decoded binary")
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._common import bytes_view, crc32_mod, slices
+from factloom.llm._common import bytes_view, crc32_mod, slices, tidy
 from factloom.llm._fit import class_sample, keep_rows, sigmoid
 
 PER_LANGUAGE = 400
@@ -76,8 +76,8 @@ def _blocks(column):
     """(first row, counts) of blocks of texts."""
     data, offsets = bytes_view(column)
     for i, j in slices(offsets, 1 << 18):
-        for lo in range(i, j, 256):
-            hi = min(j, lo + 256)
+        for lo in range(i, j, 128):
+            hi = min(j, lo + 128)
             yield lo, gram_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    found = chosen.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -2,7 +2,7 @@
 
 A line's normal form is lower-cased (A-Z) and stripped of white space at its ends; blank lines are left
 alone. Equal normal forms share a node, their 63-bit digest (a second digest guards against chance:
-where two normal forms share a node, all their lines are kept). The set of a line is its distinct
+two normal forms that share a node stay apart, or are all kept where the node is linked to others). The set of a line is its distinct
 8-byte shingles, or the whole line where it is shorter. Signatures are one-permutation MinHash: each
 shingle falls into one of the bins by its upper bits, a bin keeps its least value, an empty bin borrows
 from the next full one. Banding, verification and components are those of :mod:`factloom.llm.near`. Of
@@ -155,11 +155,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return lines.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.no") + 1).alias("text")).dropDuplicates(["node"])
 
     labels = near.link(found.select("node", *sig, "bands"), texts, lambda line: line_set(normal_line(line)), PERCENT, hashes, SLACK)
-    named = places.join(labels, "node", "left").select("doc_id", "th", "line_no", "guard", F.coalesce("component", "node").alias("component"), "node")
-    unsure = places.groupBy("node").agg(F.min("guard").alias("g1"), F.max("guard").alias("g2")).filter("g1 <> g2").select("node")
-    named = named.join(unsure, "node", "left_anti")
-    kept = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("kept")).filter("n > 1").select("component", "kept")
-    gone = named.join(kept, "component").filter(F.struct("doc_id", "th", "line_no") != F.col("kept"))
+    linked = places.join(labels, "node").groupBy("node").agg(F.min("guard").alias("g1"), F.max("guard").alias("g2"))
+    unsure = materialize(linked.filter("g1 <> g2").select("node"), "unsure")
+    named = places.join(labels, "node", "left")
+    if not unsure.isEmpty():
+        named = named.join(unsure, "node", "left_anti")
+    own = F.col("component").isNull()  # linked to no other line: the same line has the same node and guard
+    named = named.select("doc_id", "th", "line_no", F.coalesce("component", "node").alias("component"), F.when(own, F.col("guard")).otherwise(0).alias("form"))
+    kept = named.groupBy("component", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("kept")).filter("n > 1").select("component", "form", "kept")
+    gone = named.join(kept, ["component", "form"]).filter(F.struct("doc_id", "th", "line_no") != F.col("kept"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._common import materialize
+from factloom.llm._common import materialize, tidy
 
 WIDTH = 64
 TILE = (8, 9)
@@ -166,7 +166,7 @@ def features(media: DataFrame) -> DataFrame:
         return key, n, image.tobytes(), data, npy_bytes(tile), difference_hash(tile)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("tile", pa.binary()), ("dhash", pa.string())]
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_rows(fields, row), "doc_id long, n_bytes long, payload binary, media binary, tile binary, dhash string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_rows(fields, row)), "doc_id long, n_bytes long, payload binary, media binary, tile binary, dhash string")
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:

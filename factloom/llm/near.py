@@ -42,6 +42,8 @@ SMALL = 32
 #: Nodes of a larger bucket that one task compares with as many others, and shingles compared at a time.
 BLOCK = 500
 COLUMNS = 4096
+#: Shingles of sets that a task keeps for further pairs.
+HELD = 2_000_000
 _ODD_LANES = 0x5555555555555555
 
 
@@ -128,12 +130,16 @@ def verify(pairs: DataFrame, texts: DataFrame, to_set: Callable[[str], np.ndarra
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
+        size = 0
 
         def full(node, text):
+            nonlocal size
             if node not in held:
-                if len(held) > 64:
+                if size > HELD:
                     held.clear()
+                    size = 0
                 held[node] = to_set(text.as_py())
+                size += len(held[node])
             return held[node]
 
         for batch in batches:

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm._common import tidy
+
 WINDOW = 1024
 END_ID = 0
 #: Documents whose remainders are packed together.
-POOL = 16_384
+POOL = 8_192
 
 
 class CapacityTree:
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield _batch(rows)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return chosen.mapInArrow(tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm._common import filesystem, fresh_path, materialize
+from factloom.llm._common import filesystem, fresh_path, materialize, tidy
 
 FRAME_IDS = 1 << 16
 LEVEL = 1
@@ -193,7 +193,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("path", "first_id", "shard")
     spread = files.repartition(max(1, manifest.count()), "shard").select("path", "first_id")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_file(spark, sf_dir: str) -> DataFrame:

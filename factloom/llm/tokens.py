@@ -21,9 +21,9 @@ from tokenizers import Tokenizer  # noqa: E402
 from factloom.llm._common import bytes_view, slices  # noqa: E402
 
 #: Bytes of text that are cut and looked up at a time.
-BLOCK_BYTES = 4 << 20
-#: Pieces that a worker remembers before it starts anew, and the longest that it remembers.
-CACHE_PIECES = 400_000
+BLOCK_BYTES = 1 << 20
+#: Pieces that a worker remembers before it forgets those met only once, and the longest that it remembers.
+CACHE_PIECES = 200_000
 CACHE_PIECE_BYTES = 64
 
 #: Bytes that may follow a space at a cut: visible ASCII, and lead bytes of blocks without white space.
@@ -70,15 +70,40 @@ class PieceTokenizer:
         self.model = Tokenizer(self.tokenizer.model)
         self.letters = _byte_letters()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
+        self._begin()
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, bool)  # again after it was added
         self.n_ids = self.n_slots = 0
 
+    def _forget(self) -> None:
+        """Keep what was met again; if that is most of it, nothing."""
+        kept = np.flatnonzero(self.met[: self.n_slots])
+        old, starts, lengths, ids = self.slot, self.starts[kept], self.lengths[kept], self.ids
+        number = np.full(self.n_slots, -1)
+        number[kept] = np.arange(len(kept))
+        self._begin()
+        if len(kept) > CACHE_PIECES // 2:
+            return
+        self._room(len(kept), int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        self.ids[:total] = ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+        self.starts[: len(kept)], self.lengths[: len(kept)] = ends - lengths, lengths
+        self.n_ids, self.n_slots = total, len(kept)
+        self.slot = {piece: new for piece, slot in old.items() if (new := int(number[slot])) >= 0}
+
+    def _room(self, slots: int, ids: int) -> None:
+        """Grow the tables until so many more fit."""
+        while self.n_ids + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n_slots + slots > len(self.starts):
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
+
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of pieces, joined in any order; each piece's place and number."""
         is_word = np.fromiter((_WORD(p) is not None for p in pieces), bool, len(pieces))
@@ -105,11 +130,7 @@ class PieceTokenizer:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             flat, starts, lengths = self._encode(part)
-            while self.n_ids + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while self.n_slots + len(part) > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self._room(len(part), len(flat))
             here = slice(self.n_slots, self.n_slots + len(part))
             self.starts[here] = self.n_ids + starts
             self.lengths[here] = lengths
@@ -124,6 +145,7 @@ class PieceTokenizer:
         get = self.slot.get
         found = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)
+        self.met[found[found >= 0]] = True
         if len(missing):
             new = [distinct[i] for i in missing]
             found[missing] = self._add(new)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from factloom.llm import bpe, packing, token_file
+from factloom.llm import bpe, packing, token_file, tokens
 from factloom.llm._common import fresh_path
 from factloom.llm.tokens import PieceTokenizer
 
@@ -53,6 +53,15 @@ def test_odd_texts(pieces, library):
     assert ids_of(pieces, ODD) == [library.encode(t or "", add_special_tokens=False).ids for t in ODD]
 
 
+def test_forgetting(pieces, library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 200)
+    texts = [f"the word of {i % 7} and {i} the more, é{i % 3}" for i in range(300)]
+    for _ in range(2):
+        assert ids_of(pieces, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert pieces.n_slots < 200
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 63), max_size=80))
 def test_pool(lengths):
