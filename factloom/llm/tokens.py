@@ -21,9 +21,9 @@ from tokenizers import Tokenizer  # noqa: E402
 from factloom.llm._common import bytes_view, slices  # noqa: E402
 
 #: Bytes of text that are cut and looked up at a time.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 #: Pieces that a worker remembers before it forgets those met only once, and the longest that it remembers.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 CACHE_PIECE_BYTES = 64
 
 #: Bytes that may follow a space at a cut: visible ASCII, and lead bytes of blocks without white space.
