@@ -5,8 +5,9 @@ alone. Equal normal forms share a node, their 63-bit digest (a second digest gua
 two normal forms that share a node stay apart, or are all kept where the node is linked to others). The set of a line is its distinct
 8-byte shingles, or the whole line where it is shorter. Signatures are one-permutation MinHash: each
 shingle falls into one of the bins by its upper bits, a bin keeps its least value, an empty bin borrows
-from the next full one. Banding, verification and components are those of :mod:`factloom.llm.near`. Of
-every component the line of the smallest (doc_id, text hash, line number) stays.
+from the next full one. Banding, verification and components are those of :mod:`factloom.llm.near`;
+as bins that borrow agree or differ together, signatures choose the bucket head to try first, but leave
+out no pair: all that share a band are verified on their full sets. Of every component the line of the smallest (doc_id, text hash, line number) stays.
 
 Defined cases: null or empty texts have no lines and stay as they are; a null doc_id counts as smaller
 than any; rows equal in doc_id and text have equal results; documents that lose all their lines are
@@ -28,12 +29,9 @@ from factloom.llm.minhash import _LOWER, _SPACE
 
 SHINGLE = 8
 PERCENT = 80
-ROWS = 3
-#: Hashes (bins) of a signature: 10 bands of 3 rows find a pair at the threshold but for 7.7e-4, at 0.9
-#: but for 2e-6.
-BANDS = 10
-#: Standard deviations that an estimate from so few bins may fall short of the threshold.
-SLACK = 3.5
+ROWS = 4
+#: Hashes (bins) of a signature: 17 bands of 4 rows find a pair at the threshold but for 1.3e-4.
+BANDS = 17
 BLOCK_BYTES = 1 << 17
 
 
@@ -154,7 +152,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines = met.select("wanted", F.split("whole", "\n").alias("parts")).select(F.explode("wanted").alias("w"), "parts")
         return lines.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.no") + 1).alias("text")).dropDuplicates(["node"])
 
-    labels = near.link(found.select("node", *sig, "bands"), texts, lambda line: line_set(normal_line(line)), PERCENT, hashes, SLACK)
+    labels = near.link(found.select("node", *sig, "bands"), texts, lambda line: line_set(normal_line(line)), PERCENT, hashes, slack=None)
     linked = places.join(labels, "node").groupBy("node").agg(F.min("guard").alias("g1"), F.max("guard").alias("g2"))
     unsure = materialize(linked.filter("g1 <> g2").select("node"), "unsure")
     named = places.join(labels, "node", "left")

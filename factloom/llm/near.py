@@ -267,12 +267,13 @@ def _large(most: int, to_set: Callable[[str], np.ndarray], percent: int):
     return _by_group(3, compared)
 
 
-def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int, slack: float = SLACK) -> DataFrame:
+def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int, slack: float | None = SLACK) -> DataFrame:
     """(node, component) of every node that is linked to another; the label is the smallest node.
 
-    ``texts`` takes a table of nodes and returns (node, text) of them, one row each.
+    ``texts`` takes a table of nodes and returns (node, text) of them, one row each. Without ``slack`` no
+    pair is left out by its estimate: all that a bucket shows are verified.
     """
-    words, most = n_words(hashes), reach(percent / 100, hashes, slack)
+    words, most = n_words(hashes), hashes if slack is None else reach(percent / 100, hashes, slack)
     sig = [f"s{i}" for i in range(words)]
     banded = features.select("node", F.explode("bands").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head"), "buckets")

@@ -149,6 +149,17 @@ def test_long_document_of_lines(spark):
     assert row.n_removed == 20_000 - len(row.text.split("\n")) >= 19_950
 
 
+def test_short_lines_are_not_left_out_by_an_estimate(spark):
+    draw = random.Random(11)
+    base = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.choice([12, 13, 16, 20]))) for _ in range(1500)]
+    pairs = [(line, line + draw.choice("0123456789")) for line in base]
+    sets = [[frozenset(lines.line_set(lines.normal_line(x)).tolist()) for x in p] for p in pairs]
+    assert all(alike_sets(a, b, lines.PERCENT) for a, b in sets)
+    rows = [(2 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)]
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, n in found.items() if n != k % 2] == []
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
