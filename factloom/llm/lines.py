@@ -2,12 +2,15 @@
 
 A line's normal form is lower-cased (A-Z) and stripped of white space at its ends; blank lines are left
 alone. Equal normal forms share a node, their 63-bit digest (a second digest guards against chance:
-two normal forms that share a node stay apart, or are all kept where the node is linked to others). The set of a line is its distinct
-8-byte shingles, or the whole line where it is shorter. Signatures are one-permutation MinHash: each
+two normal forms that share a node stay apart, or are all kept where the node is linked to others). A
+line of up to 120 characters is compared by its shingles of 4 characters, repeats included (the set
+holds a shingle's first, second, .. place), or whole where it is shorter; a line of 96 characters or more
+by its distinct shingles of 8; a line between by both, and links by either. So one changed character
+never parts lines of 39 characters or more that are compared by 4. Signatures are one-permutation MinHash: each
 shingle falls into one of the bins by its upper bits, a bin keeps its least value, an empty bin borrows
 from the next full one. Banding, verification and components are those of :mod:`factloom.llm.near`;
-as bins that borrow agree or differ together, signatures choose the bucket head to try first, but leave
-out no pair: all that share a band are verified on their full sets. Of every component the line of the smallest (doc_id, text hash, line number) stays.
+as bins that borrow agree or differ together, nothing is estimated from them: all pairs that share a band
+are verified on their full sets but those whose bitmaps show that they cannot reach the threshold. Of every component the line of the smallest (doc_id, text hash, line number) stays.
 
 Defined cases: null or empty texts have no lines and stay as they are; a null doc_id counts as smaller
 than any; rows equal in doc_id and text have equal results; documents that lose all their lines are
@@ -17,6 +20,8 @@ input pass through :func:`dedup_lines` unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,13 +30,18 @@ from pyspark.sql import functions as F
 
 from factloom.llm import near
 from factloom.llm._common import bytes_view, materialize, slices
+from factloom.llm.components import connected_components
 from factloom.llm.minhash import _LOWER, _SPACE
 
-SHINGLE = 8
+#: (characters of a shingle, least and most characters of a line that is compared by them). Random lines
+#: share too many shingles of 4 where they are long, and one change too many of 8 where they are short.
+KINDS = ((4, 0, 120), (8, 96, None))
 PERCENT = 80
 ROWS = 4
 #: Hashes (bins) of a signature: 17 bands of 4 rows find a pair at the threshold but for 1.3e-4.
 BANDS = 17
+#: Words of a line's bitmap.
+WORDS = 3
 BLOCK_BYTES = 1 << 17
 
 
@@ -40,21 +50,51 @@ def normal_line(line: str) -> bytes:
     return _LOWER[np.frombuffer(line.encode(), np.uint8)].tobytes().strip(b"\x20\x09\x0a\x0b\x0c\x0d")
 
 
-def _shingles(data: np.ndarray) -> np.ndarray:
-    """A hash for each place of a block of bytes: of the 8 bytes there."""
-    if len(data) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    words = np.empty(len(data) - SHINGLE + 1, "<u8")
-    for at in range(SHINGLE):
-        n = (len(data) - at) // SHINGLE
-        words[at::SHINGLE] = data[at : at + n * SHINGLE].view("<u8")
-    return near.mix(words * np.uint64(0x9E3779B97F4A7C15))
-
-
-def line_set(line: bytes) -> np.ndarray:
-    """The set of one normal line, sorted and without repeats."""
-    if len(line) >= SHINGLE:
-        return np.unique(_shingles(np.frombuffer(line, np.uint8)))
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The characters of a block of UTF-8 as numbers, and the places where they begin (None: all)."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint64), None
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(np.append(begin, len(data)))
+    codes = data[begin].astype(np.uint64)
+    for k in (1, 2, 3):
+        some = np.flatnonzero(width > k)
+        codes[some] |= data[begin[some] + k].astype(np.uint64) << np.uint64(8 * k)
+    return codes, begin
+
+
+def _shingles(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """By size, a hash for each place of a block of characters: of the 4 and of the 8 characters there."""
+    out, size, factor = codes, 1, 0x9E3779B97F4A7C15
+    found = {}
+    while size < 8:
+        out = out[:-size] * np.uint64(factor) + out[size:] if len(out) > size else out[:0]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+        found[size] = out
+    return {k: near.mix(found[k]) for k in (4, 8)}
+
+
+def _numbered(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes of shingles in which the repeats of a row differ, in the order of rows and hashes."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    at = np.arange(len(hashes))
+    time = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    again = time > 0
+    hashes[again] = near.mix(hashes[again] + time[again].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return hashes
+
+
+def line_set(line: bytes, size: int | None = None) -> np.ndarray:
+    """The set of one normal line, sorted and without repeats, by shingles of ``size`` characters; without
+    a size, of the first that its length allows."""
+    codes, _ = _characters(np.frombuffer(line, np.uint8))
+    size = size or next(k for k, _, most in KINDS if most is None or len(codes) <= most)
+    if len(codes) >= size:
+        hashes = _shingles(codes)[size]
+        return np.unique(_numbered(hashes, np.zeros(len(hashes), np.int64)) if size == KINDS[0][0] else hashes)
     return np.array([xxhash.xxh3_64_intdigest(line)], np.uint64) if line else np.zeros(0, np.uint64)
 
 
@@ -77,9 +117,9 @@ def _bins(hashes: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table, one row per line that is not blank: doc_id, th (hash of the text), line_no, node, guard, s0.., bands."""
+    """A written table, one row per line that is not blank: doc_id, th (hash of the text), line_no, node, guard and, for each
+    size of shingles, s<size>_0.., bands<size> (empty where the line is not compared by them)."""
     hashes = BANDS * ROWS
-    sig = [f"s{i}" for i in range(near.n_words(hashes))]
 
     def run(batches):
         for batch in batches:
@@ -89,16 +129,20 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 made = lines_of(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if made is None:
                     continue
-                row, number, node, guard, least = made
+                row, number, node, guard, kinds = made
                 rows = pa.array(row + i)
                 columns = [keys.take(rows), text_hashes.take(rows), pa.array(number), pa.array(node), pa.array(guard)]
-                bits = near.pack_bits(least).view(np.int64)
-                bands = near.band_keys(least, BANDS, ROWS).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(bits[:, k]) for k in range(len(sig))), lists], names=["doc_id", "th", "line_no", "node", "guard", *sig, "bands"])
+                for some, least, maps in kinds:
+                    bits = np.zeros((len(row), WORDS + 1), np.int64)
+                    bits[some] = maps.view(np.int64)
+                    bands = near.band_keys(least, BANDS, ROWS).view(np.int64)
+                    edges = np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * np.int32(BANDS)
+                    columns += [*(pa.array(bits[:, k]) for k in range(bits.shape[1])), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def lines_of(block, starts):
-        """(row, line number, node, guard, minima) of the lines of a block of texts."""
+        """(row, line number, node, guard, kinds) of the lines of a block of texts; a kind is which lines
+        are compared by its shingles, their minima and bitmaps."""
         if not len(block):
             return None
         block = _LOWER[block]
@@ -121,26 +165,36 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n = len(texts)
         first = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, n)
         guard = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, n)
-        all_hashes = _shingles(block)
+        codes, at = _characters(block)
+        if at is not None:
+            begins, ends = np.searchsorted(at, begins), np.searchsorted(at, ends)
         length = ends - begins
-        counts = np.maximum(length - SHINGLE + 1, 1)
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        source = np.arange(edges[-1]) + np.repeat(begins - edges[:-1], counts)
-        short = np.flatnonzero(length < SHINGLE)
-        hashes_of = all_hashes[np.minimum(source, len(all_hashes) - 1)] if len(all_hashes) else np.zeros(len(source), np.uint64)
-        hashes_of[edges[short]] = first[short]
-        least = _bins(hashes_of, edges, hashes)
-        return rows, number.astype(np.int64), (first >> np.uint64(1)).view(np.int64), guard.view(np.int64), least
+        hashes_at = _shingles(codes)
+        kinds = []
+        for size, least, most in KINDS:
+            some = (length >= least) & (length <= (length.max() if most is None else most))
+            counts = np.maximum(length[some] - size + 1, 1)
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            source = np.arange(edges[-1]) + np.repeat(begins[some] - edges[:-1], counts)
+            have = hashes_at[size]
+            own = have[np.minimum(source, len(have) - 1)] if len(have) else np.zeros(len(source), np.uint64)
+            short = np.flatnonzero(length[some] < size)
+            own[edges[short]] = first[some][short]
+            if size == KINDS[0][0]:
+                own = _numbered(own, np.repeat(np.arange(len(counts)), counts))
+            kinds.append((some, _bins(own, edges, hashes), near.bitmaps(own, edges, WORDS)))
+        return rows, number.astype(np.int64), (first >> np.uint64(1)).view(np.int64), guard.view(np.int64), kinds
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    schema = "doc_id long, th long, line_no long, node long, guard long, " + "".join(f"{s} long, " for s in sig) + "bands array<long>"
+    fields = ["doc_id long", "th long", "line_no long", "node long", "guard long"]
+    for size, _, _ in KINDS:
+        fields += [*(f"s{size}_{i} long" for i in range(WORDS + 1)), f"bands{size} array<long>"]
+    names, schema = [f.split()[0] for f in fields], ", ".join(fields)
     return materialize(chosen, "lines", through=run, schema=schema)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, gone array<int>): the numbers of the lines to remove from each document that has any."""
-    hashes = BANDS * ROWS
-    sig = [f"s{i}" for i in range(near.n_words(hashes))]
     found = occurrences(docs, id_col, text_col)
     places = found.select("doc_id", "th", "line_no", "node", "guard")
 
@@ -152,7 +206,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines = met.select("wanted", F.split("whole", "\n").alias("parts")).select(F.explode("wanted").alias("w"), "parts")
         return lines.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.no") + 1).alias("text")).dropDuplicates(["node"])
 
-    labels = near.link(found.select("node", *sig, "bands"), texts, lambda line: line_set(normal_line(line)), PERCENT, hashes, slack=None)
+    labels = []
+    for size, _, _ in KINDS:
+        sig = [F.col(f"s{size}_{i}").alias(f"s{i}") for i in range(WORDS + 1)]
+        own = found.filter(F.size(f"bands{size}") > 0).select("node", *sig, F.col(f"bands{size}").alias("bands"))
+        labels.append(near.link(own, texts, lambda line, size=size: line_set(normal_line(line), size), PERCENT, WORDS, slack=None))
+    edges = reduce(DataFrame.union, labels).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = connected_components(edges)
     linked = places.join(labels, "node").groupBy("node").agg(F.min("guard").alias("g1"), F.max("guard").alias("g2"))
     unsure = materialize(linked.filter("g1 <> g2").select("node"), "unsure")
     named = places.join(labels, "node", "left")

@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._common import materialize
+from factloom.llm._common import drop_written, materialize
 from factloom.llm.components import connected_components
 
 #: Low bits kept of each minimum, lanes in a long, and hashes in a band.
@@ -110,6 +111,28 @@ def differing(left: str, right: str, words: int) -> Column:
     return total
 
 
+def bitmaps(values: np.ndarray, edges: np.ndarray, words: int) -> np.ndarray:
+    """(sets, words + 1): of every set (values between edges, repeats allowed) the bits that its members
+    hash to, and the number of its values. Sets differ in as many members, at least, as in bits."""
+    out = np.zeros((len(edges) - 1, words + 1), np.uint64)
+    place = (values % np.uint64(64 * words)).astype(np.int64)
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    for word in range(words if len(values) else 0):
+        out[:, word] = np.bitwise_or.reduceat(np.where(place >> 6 == word, bit, np.uint64(0)), edges[:-1])
+    out[:, words] = np.diff(edges)
+    return out
+
+
+def _within_bound(signature: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows of bitmaps may reach the threshold: all that do are among them."""
+    *bits, size = signature
+    apart = np.zeros((len(left), len(right)), np.int64)
+    for word in bits:
+        word = word.view(np.uint64)
+        apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
+    return apart * (100 + percent) <= (100 - percent) * (size[left][:, None] + size[right][None, :])
+
+
 def estimate(lanes_differing: int, hashes: int) -> float:
     """Similarity by the agreeing lanes, corrected for chance collisions."""
     chance = 2.0**-BITS
@@ -194,13 +217,13 @@ def _within_reach(signature: list[np.ndarray], left: np.ndarray, right: np.ndarr
     return apart <= most
 
 
-def _small(most: int):
+def _small(within: Callable):
     """Pairs across components within reach, of a small bucket (node, component, s0..)."""
 
     def compared(columns):
         node, component, *signature = columns
         every = np.arange(len(node))
-        close = _within_reach(signature, every, every, most) & (component[:, None] < component[None, :])
+        close = within(signature, every, every) & (component[:, None] < component[None, :])
         i, j = np.nonzero(close)
         return node[i], node[j]
 
@@ -246,13 +269,13 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _large(most: int, to_set: Callable[[str], np.ndarray], percent: int):
+def _large(within: Callable, to_set: Callable[[str], np.ndarray], percent: int):
     """Links across components of a block (side, node, component, text, s0..); side 0 left, 1 right, 2 both."""
 
     def compared(columns):
         side, node, component, text, *signature = columns
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        close = _within_reach(signature, left, right, most) & (component[left][:, None] != component[right][None, :])
+        close = within(signature, left, right) & (component[left][:, None] != component[right][None, :])
         left, right = left[close.any(1)], right[close.any(0)]
         if not len(left):
             return node[:0], node[:0]
@@ -270,14 +293,22 @@ def _large(most: int, to_set: Callable[[str], np.ndarray], percent: int):
 def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int, slack: float | None = SLACK) -> DataFrame:
     """(node, component) of every node that is linked to another; the label is the smallest node.
 
-    ``texts`` takes a table of nodes and returns (node, text) of them, one row each. Without ``slack`` no
-    pair is left out by its estimate: all that a bucket shows are verified.
+    ``texts`` takes a table of nodes and returns (node, text) of them, one row each. Without ``slack``
+    the signatures are :func:`bitmaps` of so many words instead of the hashes' bits, and only pairs that
+    cannot reach the threshold by their bitmaps are left out: no link that a bucket shows is lost.
     """
-    words, most = n_words(hashes), hashes if slack is None else reach(percent / 100, hashes, slack)
+    if slack is None:
+        words, within = hashes + 1, partial(_within_bound, percent=percent)
+        apart = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(hashes)), F.lit(0))
+        near_head = F.col("apart") * (100 + percent) <= (F.col(f"l{hashes}") + F.col(f"r{hashes}")) * (100 - percent)
+    else:
+        words, most = n_words(hashes), reach(percent / 100, hashes, slack)
+        within, apart, near_head = partial(_within_reach, most=most), differing("l", "r", words), F.col("apart") <= most
     sig = [f"s{i}" for i in range(words)]
     banded = features.select("node", F.explode("bands").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head"), "buckets")
     members = materialize(banded.join(buckets, "key").select("key", "node", "head").distinct(), "members")
+    drop_written(buckets)
     nodes = members.select("node").distinct()
     signatures = materialize(features.select("node", *sig).join(nodes, "node", "left_semi").distinct(), "signatures")
     texts = materialize(texts(nodes), "texts")
@@ -285,7 +316,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     heads = members.filter("node <> head").select("node", "head").distinct()
     heads = heads.join(signatures.select("node", *[F.col(s).alias(f"l{s[1:]}") for s in sig]), "node")
     heads = heads.join(signatures.select(F.col("node").alias("head"), *[F.col(s).alias(f"r{s[1:]}") for s in sig]), "head")
-    heads = heads.withColumn("apart", differing("l", "r", words)).filter(F.col("apart") <= most)
+    heads = heads.withColumn("apart", apart).filter(near_head)
     star = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
     tested = verify(star.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, to_set, percent)
     labels = connected_components(tested.filter("good"))
@@ -294,7 +325,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     mixed = materialize(named.join(mixed.select("key", "n"), "key").join(signatures, "node"), "mixed")
     small = mixed.filter(F.col("n") <= SMALL).select("key", "node", "component", *sig).repartition("key").sortWithinPartitions("key")
-    pairs = materialize(small, "pairs", through=_small(most), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = materialize(small, "pairs", through=_small(within), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     links = verify(pairs, texts, to_set, percent).filter("good").select("a", "b")
 
     large = mixed.filter(F.col("n") > SMALL)
@@ -305,7 +336,9 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     dealt = dealt.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), side, "node", "component", *sig).join(texts, "node")
     order = ["key", "part_a", "part_b"]
     dealt = dealt.select(*order, "side", "node", "component", "text", *sig).repartition(*order).sortWithinPartitions(*order)
-    links = links.union(materialize(dealt, "blocks", through=_large(most, to_set, percent), schema="a long, b long"))
+    links = links.union(materialize(dealt, "blocks", through=_large(within, to_set, percent), schema="a long, b long"))
+    for table in (members, signatures, texts, mixed):
+        drop_written(table)
     if links.isEmpty():
         return labels
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
