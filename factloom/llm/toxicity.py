@@ -1,11 +1,13 @@
-"""Toxicity by compression distance: windows of a text against two zstandard dictionaries.
+"""Toxicity by compression distance: windows of a text against zstandard dictionaries.
 
-Training (on a bounded sample of labelled documents, ``PER_CLASS`` of each class). Toxic text is, of the
-toxic documents, the words that stand in many unrelated ones and hardly ever in ordinary documents; ordinary text is windows of the ordinary documents. A dictionary is trained by zstandard on
-each. The ordinary dictionary is used with neutral padding in front, the toxic one in front of the same
-ordinary one, so that both are equally long and differ by the toxic material alone. A window's gain is
-the number of bytes that the toxic dictionary saves over the ordinary one. Thresholds on the largest
-gains, at two window sizes, are calibrated by a logistic regression on the same sample.
+Training (on a bounded sample of labelled documents, ``PER_CLASS`` of each class). A dictionary is
+trained by zstandard on windows of the toxic documents, one on windows of the ordinary documents and, as
+an addition, one on the words that stand in many unrelated toxic documents and hardly ever in ordinary
+ones. The ordinary dictionary is used with neutral padding in front, the other two in front of the same
+ordinary one, so that all are equally long and differ by the toxic material alone. A window's gains are
+the numbers of bytes that these two save over the ordinary one. Thresholds on the largest gains, at two
+window sizes, are calibrated by a logistic regression on the same sample, by dictionaries of its other
+half.
 
 Defined cases: null or empty texts have one empty window, hence the score of no gain; without labels of
 both classes every score is 0; a null doc_id is scored and not held out; repeated rows score equally; an
@@ -33,7 +35,7 @@ TOXIC_BYTES = 8_192
 #: many of them as of the ordinary ones.
 LEAST_FAMILIES, LEAST_SHARE, LEAST_RATIO = 4, 0.01, 20
 #: Shortest match of the compressor.
-MATCH = 6
+MATCH = 4
 THRESHOLD = 0.5
 
 
@@ -107,11 +109,9 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train(rows: list[tuple[str, int]]) -> dict | None:
-    """The model, or None without rows of both classes."""
+def dictionaries(rows: list[tuple[str, int]]) -> dict[str, bytes]:
+    """The contents of the three dictionaries, equally long."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
-    if not toxic or not ordinary:
-        return None
     draw = random.Random(5)
     usual = [w for text in ordinary for ws in [windows(text, WINDOWS[0])] for w in draw.sample(ws, min(24, len(ws)))]
     base = _trained(BASE_BYTES, usual)
@@ -121,23 +121,42 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     marked = _trained(TOXIC_BYTES, seen) if seen else b""
     left_out = [w for w in words if b" " + w + b" " not in marked]  # the commonest last, where offsets are short
     marked += b" " * bool(left_out) + b"".join(w + b" " for w in left_out[::-1])[-TOXIC_BYTES:]
-    padding = bytes(draw.choices(range(1, 9), k=len(marked)))
-    model = {"ordinary": padding + base, "toxic": marked + base, "fit": None}
-    x = np.array([gains(model, text) for text, _ in rows])
-    model["fit"] = logistic(x, np.array([y for _, y in rows], float), ridge=1.0)
-    return model
+    whole = _trained(TOXIC_BYTES, [w for text in toxic for w in windows(text, WINDOWS[0])])
+    size = max(len(marked), len(whole))
+    padding = bytes(draw.choices(range(1, 9), k=size))
+    return {"ordinary": padding + base, "toxic": padding[len(whole) :] + whole + base, "marked": padding[len(marked) :] + marked + base}
+
+
+def train(rows: list[tuple[str, int]]) -> dict | None:
+    """The model, or None without rows of both classes. Thresholds are calibrated on gains by dictionaries
+    of the other half of the sample: a dictionary knows the texts that it was made of."""
+    if len({y for _, y in rows}) < 2:
+        return None
+    fold = [0] * len(rows)
+    for label in (0, 1):
+        for k, at in enumerate(i for i, (_, y) in enumerate(rows) if y == label):
+            fold[at] = k % 2
+    x = [None] * len(rows)
+    for half in (0, 1):
+        other = [r for r, f in zip(rows, fold) if f != half]
+        model = dictionaries(other if len({y for _, y in other}) == 2 else rows)
+        for at, (text, _) in enumerate(rows):
+            if fold[at] == half:
+                x[at] = gains(model, text)
+    fit = logistic(np.array(x), np.array([y for _, y in rows], float), ridge=1.0)
+    return {**dictionaries(rows), "fit": fit}
 
 
 _COMPRESSORS: dict[int, tuple] = {}
 
 
 def compressors(model: dict) -> tuple:
-    """The two compressors of a model, made once in each worker."""
-    key = hash((model["toxic"], model["ordinary"]))
+    """The three compressors of a model, made once in each worker."""
+    key = hash((model["toxic"], model["marked"], model["ordinary"]))
     if key not in _COMPRESSORS:
         _COMPRESSORS.clear()
         made = []
-        for name in ("ordinary", "toxic"):
+        for name in ("ordinary", "toxic", "marked"):
             settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=17, search_log=6, min_match=MATCH, target_length=0, strategy=zstandard.STRATEGY_LAZY2, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
             words = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=settings)
@@ -148,13 +167,15 @@ def compressors(model: dict) -> tuple:
 
 def gains(model: dict, text: str | None) -> list[float]:
     """The two largest gains at each window size, kept within bounds, and the number of windows."""
-    ordinary, toxic = compressors(model)
+    ordinary, *marking = compressors(model)
     out: list[float] = []
     for size in WINDOWS:
         parts = windows(text, size)
-        by = sorted((len(ordinary(w)) - len(toxic(w)) for w in parts), reverse=True)
-        first, second = by[0], by[1] if len(by) > 1 else 0
-        out += [min(first, 12), min(max(second, 0), 12), float(first >= 1), float(first >= 3)]
+        plain = [len(ordinary(w)) for w in parts]
+        for toxic in marking:
+            by = sorted((n - len(toxic(w)) for n, w in zip(plain, parts)), reverse=True)
+            first, second = by[0], by[1] if len(by) > 1 else 0
+            out += [min(first, 12), min(max(second, 0), 12), float(first >= 1), float(first >= 3)]
     return [*out, np.log(len(parts))]
 
 

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy on the synthetic tables, defined cases, small parts by hand."""
 
+import random
 import zlib
 
 import numpy as np
@@ -81,6 +82,18 @@ def test_windows():
     assert toxicity.toxic_words(toxic, [f"w{i} x{i} y{i}" for i in range(30)]) == [b"bad"]
 
 
+def test_toxic_phrase_of_ordinary_words():
+    draw = random.Random(3)
+    words = "river stone cloud table window garden bread paper light horse music winter".split()
+    phrase = "you little table stone bread must go"
+    toxic = [" ".join([*draw.choices(words, k=40), phrase]) for _ in range(60)]
+    plain = [" ".join(draw.choices([*words, "you", "little", "must", "go"], k=47)) for _ in range(60)]
+    assert toxicity.toxic_words(toxic, plain) == []
+    model = toxicity.train([(t, 1) for t in toxic[:40]] + [(t, 0) for t in plain[:40]])
+    found = toxicity.scores(model, pa.array(toxic[40:] + plain[40:])) >= toxicity.THRESHOLD
+    assert found[:20].mean() >= 0.75 and found[20:].mean() <= 0.1
+
+
 def test_quality(spark, docs, labels):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = quality.score(docs, labels, per_class=600).collect()
