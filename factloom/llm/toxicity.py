@@ -28,6 +28,9 @@ from factloom.llm._fit import labelled_texts, logistic, logistic_score, score_ro
 from factloom.llm.minhash import minima, shingle_sets
 
 PER_CLASS = 2000
+#: Windows drawn from each ordinary document of the sample for its dictionary (all where it has fewer).
+#: Bounds the fitting alone; scoring reads whole texts.
+PER_ORDINARY = 24
 WINDOWS = (64, 192)
 BASE_BYTES = 32_768
 TOXIC_BYTES = 8_192
@@ -113,7 +116,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> dict[str, bytes]:
     """The contents of the three dictionaries, equally long."""
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     draw = random.Random(5)
-    usual = [w for text in ordinary for ws in [windows(text, WINDOWS[0])] for w in draw.sample(ws, min(24, len(ws)))]
+    usual = [w for text in ordinary for ws in [windows(text, WINDOWS[0])] for w in draw.sample(ws, min(PER_ORDINARY, len(ws)))]
     base = _trained(BASE_BYTES, usual)
     words = toxic_words(toxic, ordinary)
     marks = set(words)

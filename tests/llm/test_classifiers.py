@@ -94,6 +94,14 @@ def test_toxic_phrase_of_ordinary_words():
     assert found[:20].mean() >= 0.75 and found[20:].mean() <= 0.1
 
 
+def test_windows_of_an_ordinary_document(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_trained", lambda size, samples: seen.append(len(samples)) or b"x" * 8)
+    monkeypatch.setattr(toxicity, "PER_ORDINARY", 3)
+    toxicity.dictionaries([("word " * 200, 0), ("bad " * 5, 1)])
+    assert seen[0] == 3
+
+
 def test_quality(spark, docs, labels):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     rows = quality.score(docs, labels, per_class=600).collect()
