@@ -3,46 +3,64 @@
 A line's normal form is lower-cased (A-Z) and stripped of white space at its ends; blank lines are left
 alone. Equal normal forms share a node, their 63-bit digest (a second digest guards against chance:
 two normal forms that share a node stay apart, or are all kept where the node is linked to others). A
-line of up to 120 characters is compared by its shingles of 4 characters, repeats included (the set
-holds a shingle's first, second, .. place), or whole where it is shorter; a line of 96 characters or more
+line of up to 100 characters is compared by its shingles of 4 characters, repeats included (the set
+holds a shingle's first, second, .. place), or whole where it is shorter; a line of 80 characters or more
 by its distinct shingles of 8; a line between by both, and links by either. So one changed character
-never parts lines of 39 characters or more that are compared by 4. Signatures are one-permutation MinHash: each
-shingle falls into one of the bins by its upper bits, a bin keeps its least value, an empty bin borrows
-from the next full one. Banding, verification and components are those of :mod:`factloom.llm.near`;
-as bins that borrow agree or differ together, nothing is estimated from them: all pairs that share a band
-are verified on their full sets but those whose bitmaps show that they cannot reach the threshold. Of every component the line of the smallest (doc_id, text hash, line number) stays.
+never parts lines of 39 characters or more, and two lines that the threshold could link always share a size.
+
+Signatures of lines compared by 4 are minima of independent hash functions: such lines have few shingles,
+and bins that borrow from each other would put unlike lines into one bucket. Those of lines compared by 8
+are one-permutation MinHash: each shingle falls into one of the bins by its upper bits, a bin keeps its
+least value, an empty bin borrows from a full one drawn at random. Banding, verification and components
+are those of :mod:`factloom.llm.near`; nothing is estimated: all pairs that share a band are verified on
+their full sets but those whose sizes rule a link out. Of every component the line of the smallest
+(doc_id, text hash, line number) stays.
 
 Defined cases: null or empty texts have no lines and stay as they are; a null doc_id counts as smaller
 than any; rows equal in doc_id and text have equal results; documents that lose all their lines are
-returned with a text of blank lines or none; an empty table gives an empty table; other columns of the
-input pass through :func:`dedup_lines` unchanged.
+returned with a text of blank lines or none; an empty table gives an empty table; a long text is worked
+on in parts of whole lines, so the longest line bounds the memory, not the text; other columns of the
+input pass through :func:`dedup_lines` unchanged, but one named as its count of removed lines, which is
+replaced. Column names that begin with ``__`` are reserved.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factloom.llm import near
-from factloom.llm._common import bytes_view, materialize, slices
+from factloom.llm._common import bytes_view, drop_written, materialize, slices
 from factloom.llm.components import connected_components
-from factloom.llm.minhash import _LOWER, _SPACE
+from factloom.llm.minhash import _LOWER, _SPACE, minima
+
+
+class Kind(NamedTuple):
+    """How lines of ``least`` to ``most`` characters are compared: characters of a shingle, rows and bands."""
 
-#: (characters of a shingle, least and most characters of a line that is compared by them). Random lines
-#: share too many shingles of 4 where they are long, and one change too many of 8 where they are short.
-KINDS = ((4, 0, 120), (8, 96, None))
+    size: int
+    least: int
+    most: int | None
+    rows: int
+    bands: int
+
+
+#: Random lines share too many shingles of 4 where they are long, and one change too many of 8 where they
+#: are short. Bands miss a pair at the threshold with 7.3e-5 and 1.3e-4.
+KINDS = (Kind(4, 0, 100, 5, 24), Kind(8, 80, None, 4, 17))
 PERCENT = 80
-ROWS = 4
-#: Hashes (bins) of a signature: 17 bands of 4 rows find a pair at the threshold but for 1.3e-4.
-BANDS = 17
-#: Words of a line's bitmap.
-WORDS = 3
-BLOCK_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 18
+#: Lines that a task remembers, to work out the features of a repeated one once.
+SEEN = 200_000
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_REPEAT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normal_line(line: str) -> bytes:
@@ -64,176 +82,196 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
 
 
 def _shingles(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """By size, a hash for each place of a block of characters: of the 4 and of the 8 characters there."""
+    """By size, a number for each place of a block of characters: of the 4 and of the 8 characters there."""
     out, size, factor = codes, 1, 0x9E3779B97F4A7C15
     found = {}
     while size < 8:
         out = out[:-size] * np.uint64(factor) + out[size:] if len(out) > size else out[:0]
         size, factor = 2 * size, factor * factor % (1 << 64)
         found[size] = out
-    return {k: near.mix(found[k]) for k in (4, 8)}
+    return found
 
 
 def _numbered(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Hashes of shingles in which the repeats of a row differ, in the order of rows and hashes."""
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    at = np.arange(len(hashes))
+    """44-bit hashes of shingles, by row and value, made to differ where a row repeats them."""
+    packed = np.sort(rows.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    at = np.arange(len(packed))
+    fresh = np.ones(len(packed), bool)
+    fresh[1:] = packed[1:] != packed[:-1]
     time = at - np.maximum.accumulate(np.where(fresh, at, 0))
-    again = time > 0
-    hashes[again] = near.mix(hashes[again] + time[again].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return hashes
-
-
-def line_set(line: bytes, size: int | None = None) -> np.ndarray:
-    """The set of one normal line, sorted and without repeats, by shingles of ``size`` characters; without
-    a size, of the first that its length allows."""
-    codes, _ = _characters(np.frombuffer(line, np.uint8))
-    size = size or next(k for k, _, most in KINDS if most is None or len(codes) <= most)
-    if len(codes) >= size:
-        hashes = _shingles(codes)[size]
-        return np.unique(_numbered(hashes, np.zeros(len(hashes), np.int64)) if size == KINDS[0][0] else hashes)
-    return np.array([xxhash.xxh3_64_intdigest(line)], np.uint64) if line else np.zeros(0, np.uint64)
+    return near.mix((packed & np.uint64((1 << 44) - 1)) + time.astype(np.uint64) * _REPEAT)
+
+
+def _values(shingles: dict[int, np.ndarray], begins: np.ndarray, lengths: np.ndarray, whole: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lines of a block (repeats of shingles of 8 not removed), joined, and their edges;
+    ``whole`` are the digests of the lines, for those shorter than a shingle."""
+    counts = np.maximum(lengths - size + 1, 1)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    source = np.arange(edges[-1]) + np.repeat(begins - edges[:-1], counts)
+    have = shingles[size]
+    own = have[np.minimum(source, len(have) - 1)] if len(have) else np.zeros(len(source), np.uint64)
+    short = np.flatnonzero(lengths < size)
+    own[edges[short]] = whole[short]
+    own = near.mix(own)
+    if size == KINDS[0].size:
+        own = _numbered(own, np.repeat(np.arange(len(counts)), counts))
+    return own, edges
+
+
+def line_sets(lines: list[bytes], size: int | None = None) -> list[np.ndarray]:
+    """The sets of normal lines, sorted and without repeats, by shingles of ``size`` characters; without a
+    size, of the first that the length of each allows."""
+    if size is None:
+        return [line_sets([x], next(k.size for k in KINDS if k.most is None or len(x.decode()) <= k.most))[0] for x in lines]
+    ends = np.cumsum([0, *map(len, lines)])
+    codes, at = _characters(np.frombuffer(b"".join(lines), np.uint8))
+    if at is not None:
+        ends = np.searchsorted(at, ends)
+    whole = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
+    own, edges = _values(_shingles(codes), ends[:-1], np.diff(ends), whole, size)
+    return [np.unique(own[a:b]) if x else own[:0] for a, b, x in zip(edges[:-1], edges[1:], lines)]
 
 
 def _bins(hashes: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
     """(lines, bins) one-permutation minima of joined shingle hashes; empty bins borrow."""
     lines = len(edges) - 1
-    out = np.full(lines * bins, np.uint64(0xFFFFFFFFFFFFFFFF))
-    row = np.repeat(np.arange(lines), np.diff(edges))
+    out = np.full(lines * bins, _NONE)
     place = ((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    np.minimum.at(out, row * bins + place.astype(np.int64), near.mix(hashes))
+    np.minimum.at(out, np.repeat(np.arange(lines) * bins, np.diff(edges)) + place.astype(np.int64), hashes)
     out = out.reshape(lines, bins)
-    empty = out == np.uint64(0xFFFFFFFFFFFFFFFF)
-    if empty.any():
-        full = np.where(empty, 2 * bins, np.arange(bins))
-        following = np.minimum.accumulate(np.concatenate([full, full + bins], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        lent = np.take_along_axis(out, following % bins, axis=1)
-        steps = following - np.arange(bins)
-        out = np.where(empty, near.mix(lent + steps.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), out)
-    return out
+    full = out != _NONE
+    lent, todo, attempt = out.copy(), ~full, 0
+    lanes = np.arange(bins, dtype=np.uint64)
+    while todo.any():
+        attempt += 1
+        donor = (near.mix(lanes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
+        row, lane = np.nonzero(todo & full[:, donor])
+        lent[row, lane] = near.mix(out[row, donor[lane]] + np.uint64(attempt))
+        todo[row, lane] = False
+    return lent
+
+
+def signatures(kind: Kind, values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(lines, rows * bands) minima of the values between edges."""
+    return (minima if kind == KINDS[0] else _bins)(values, edges, kind.rows * kind.bands)
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table, one row per line that is not blank: doc_id, th (hash of the text), line_no, node, guard and, for each
-    size of shingles, s<size>_0.., bands<size> (empty where the line is not compared by them)."""
-    hashes = BANDS * ROWS
+    """A written table, one row per line that is not blank: doc_id, th (hash of the text), line_no, node
+    and guard; and where a task sees a line first form (its normal form) and, for each size of shingles
+    that it is compared by, n<size> (size of its set) and bands<size>."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             keys, text_hashes = batch.column(0), batch.column(2)
             flat, offsets = bytes_view(batch.column(1))
-            for i, j in slices(offsets, BLOCK_BYTES):
-                made = lines_of(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if made is None:
-                    continue
-                row, number, node, guard, kinds = made
-                rows = pa.array(row + i)
-                columns = [keys.take(rows), text_hashes.take(rows), pa.array(number), pa.array(node), pa.array(guard)]
-                for some, least, maps in kinds:
-                    bits = np.zeros((len(row), WORDS + 1), np.int64)
-                    bits[some] = maps.view(np.int64)
-                    bands = near.band_keys(least, BANDS, ROWS).view(np.int64)
-                    edges = np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * np.int32(BANDS)
-                    columns += [*(pa.array(bits[:, k]) for k in range(bits.shape[1])), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.ravel()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    def lines_of(block, starts):
-        """(row, line number, node, guard, kinds) of the lines of a block of texts; a kind is which lines
-        are compared by its shingles, their minima and bitmaps."""
-        if not len(block):
-            return None
+            total = offsets[-1] - offsets[0]
+            flat, starts = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+            begins = np.unique(np.concatenate([starts[:-1], np.flatnonzero(flat == 0x0A) + 1]))
+            begins = begins[begins < total]
+            if not len(begins):
+                continue
+            rows = np.searchsorted(starts, begins, side="right") - 1
+            number = np.arange(len(begins)) - np.searchsorted(begins, starts)[rows]
+            bounds = np.append(begins, total)
+            for i, j in slices(bounds, BLOCK_BYTES):
+                made = block_lines(flat[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], seen)
+                if made is not None:
+                    some, columns = made
+                    at = pa.array(rows[i:j][some])
+                    own = [keys.take(at), text_hashes.take(at), pa.array(number[i:j][some])]
+                    yield pa.RecordBatch.from_arrays([*own, *columns], names=names)
+
+    def block_lines(block, bounds, seen):
+        """Which lines of a block are not blank, and their columns from node on."""
         block = _LOWER[block]
-        breaks = np.flatnonzero(block == 0x0A)
-        begins = np.unique(np.concatenate([starts[:-1], breaks + 1]))
-        begins = begins[begins < len(block)]
-        ends = np.append(begins[1:], len(block))
-        rows = np.searchsorted(starts, begins, side="right") - 1
-        number = np.searchsorted(breaks, begins) - np.searchsorted(breaks, starts)[rows]
-        ends = ends - (block[ends - 1] == 0x0A)
         visible = np.flatnonzero(~_SPACE[block])
-        lo, hi = np.searchsorted(visible, begins), np.searchsorted(visible, ends)
-        some = hi > lo
-        rows, number, lo, hi = rows[some], number[some], lo[some], hi[some]
-        if not len(rows):
+        lo, hi = np.searchsorted(visible, bounds[:-1]), np.searchsorted(visible, bounds[1:])
+        some = np.flatnonzero(hi > lo)
+        if not len(some):
             return None
-        begins, ends = visible[lo], visible[hi - 1] + 1
+        begins, ends = visible[lo[some]], visible[hi[some] - 1] + 1
         raw = block.tobytes()
         texts = [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist())]
         n = len(texts)
         first = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, n)
-        guard = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, n)
+        guard = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, n)
+        fresh = np.zeros(n, bool)
+        for k, digest in enumerate(first.tolist()):
+            if digest not in seen:
+                seen.add(digest)
+                fresh[k] = True
+        if len(seen) > SEEN:
+            seen.clear()
         codes, at = _characters(block)
         if at is not None:
             begins, ends = np.searchsorted(at, begins), np.searchsorted(at, ends)
-        length = ends - begins
-        hashes_at = _shingles(codes)
-        kinds = []
-        for size, least, most in KINDS:
-            some = (length >= least) & (length <= (length.max() if most is None else most))
-            counts = np.maximum(length[some] - size + 1, 1)
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            source = np.arange(edges[-1]) + np.repeat(begins[some] - edges[:-1], counts)
-            have = hashes_at[size]
-            own = have[np.minimum(source, len(have) - 1)] if len(have) else np.zeros(len(source), np.uint64)
-            short = np.flatnonzero(length[some] < size)
-            own[edges[short]] = first[some][short]
-            if size == KINDS[0][0]:
-                own = _numbered(own, np.repeat(np.arange(len(counts)), counts))
-            kinds.append((some, _bins(own, edges, hashes), near.bitmaps(own, edges, WORDS)))
-        return rows, number.astype(np.int64), (first >> np.uint64(1)).view(np.int64), guard.view(np.int64), kinds
+        lengths = ends - begins
+        shingles = _shingles(codes)
+        columns = [pa.array((first >> np.uint64(1)).view(np.int64)), pa.array(guard.view(np.int64)), pa.array(texts, pa.binary(), mask=~fresh)]
+        for kind in KINDS:
+            own = np.flatnonzero(fresh & (lengths >= kind.least) & (lengths <= (lengths.max() if kind.most is None else kind.most)))
+            sizes = np.zeros(n, np.int64)
+            keys = np.zeros((0, kind.bands), np.uint64)
+            if len(own):
+                values, edges = _values(shingles, begins[own], lengths[own], first[own], kind.size)
+                sizes[own] = np.diff(edges)
+                keys = near.band_keys(signatures(kind, values, edges), kind.bands, kind.rows)
+            columns += [pa.array(sizes), near.key_column(keys, own, n)]
+        return some, columns
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    fields = ["doc_id long", "th long", "line_no long", "node long", "guard long"]
-    for size, _, _ in KINDS:
-        fields += [*(f"s{size}_{i} long" for i in range(WORDS + 1)), f"bands{size} array<long>"]
+    fields = ["doc_id long", "th long", "line_no long", "node long", "guard long", "form binary"]
+    fields += [f for kind in KINDS for f in (f"n{kind.size} long", f"bands{kind.size} binary")]
     names, schema = [f.split()[0] for f in fields], ", ".join(fields)
     return materialize(chosen, "lines", through=run, schema=schema)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, gone array<int>): the numbers of the lines to remove from each document that has any."""
+    """(doc_id, th, gone array<int>): the numbers of the lines to remove from each document that has any.
+
+    A written table. A line that a third of all rows hold is joined with one row (which adaptive execution
+    splits) and aggregated with map-side combine."""
     found = occurrences(docs, id_col, text_col)
-    places = found.select("doc_id", "th", "line_no", "node", "guard")
-
-    def texts(nodes: DataFrame) -> DataFrame:
-        first = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("at"))
-        wanted = first.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct("node", F.col("at.line_no").cast("int").alias("no"))).alias("wanted"))
-        own = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_th"), F.col(text_col).alias("whole")).withColumnRenamed("own_th", "t2")
-        met = wanted.join(own, wanted["doc_id"].eqNullSafe(own["own_id"]) & (wanted["th"] == own["t2"]))
-        lines = met.select("wanted", F.split("whole", "\n").alias("parts")).select(F.explode("wanted").alias("w"), "parts")
-        return lines.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.no") + 1).alias("text")).dropDuplicates(["node"])
-
-    labels = []
-    for size, _, _ in KINDS:
-        sig = [F.col(f"s{size}_{i}").alias(f"s{i}") for i in range(WORDS + 1)]
-        own = found.filter(F.size(f"bands{size}") > 0).select("node", *sig, F.col(f"bands{size}").alias("bands"))
-        labels.append(near.link(own, texts, lambda line, size=size: line_set(normal_line(line), size), PERCENT, WORDS, slack=None))
-    edges = reduce(DataFrame.union, labels).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = connected_components(edges)
-    linked = places.join(labels, "node").groupBy("node").agg(F.min("guard").alias("g1"), F.max("guard").alias("g2"))
-    unsure = materialize(linked.filter("g1 <> g2").select("node"), "unsure")
-    named = places.join(labels, "node", "left")
-    if not unsure.isEmpty():
-        named = named.join(unsure, "node", "left_anti")
-    own = F.col("component").isNull()  # linked to no other line: the same line has the same node and guard
-    named = named.select("doc_id", "th", "line_no", F.coalesce("component", "node").alias("component"), F.when(own, F.col("guard")).otherwise(0).alias("form"))
-    kept = named.groupBy("component", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("kept")).filter("n > 1").select("component", "form", "kept")
-    gone = named.join(kept, ["component", "form"]).filter(F.struct("doc_id", "th", "line_no") != F.col("kept"))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their repeated lines removed, and n_removed, the number of lines that went."""
-    gone = materialize(repeated_lines(docs, id_col, text_col), "gone").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    links = [near.link(found, "form", partial(line_sets, size=kind.size), PERCENT, sig=[f"n{kind.size}"], bands=f"bands{kind.size}") for kind in KINDS]
+    labels = connected_components(reduce(DataFrame.union, links).select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    counted = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("guard").alias("g1"), F.max("guard").alias("g2"))
+    named = counted.join(labels, "node", "left").filter("component is not null and g1 = g2 or component is null and n > 1")
+    named = materialize(named.select("node", "component"), "named")
+    form = F.when(F.col("component").isNull(), F.col("guard")).otherwise(0)  # linked to no other line: the same line has the same node and guard
+    places = found.select("doc_id", "th", "line_no", "node", "guard").join(named, "node")
+    places = materialize(places.select("doc_id", "th", F.col("line_no").cast("int").alias("line_no"), F.coalesce("component", "node").alias("component"), form.alias("form")), "places")
+    drop_written(found)
+    first = places.groupBy("component", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("kept"))
+    first = materialize(first.filter("n > 1").select("component", "form", "kept"), "kept")
+    gone = places.join(first, ["component", "form"]).filter(F.struct("doc_id", "th", "line_no") != F.col("kept"))
+    gone = materialize(gone.select("doc_id", "th", "line_no"), "removed")
+    for table in (named, places, first):
+        drop_written(table)
+    return materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")), "gone")
+
+
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of the given numbers."""
+    out = []
+    for whole, numbers in zip(text.to_pylist(), gone.to_pylist()):
+        if whole is not None and numbers:
+            numbers = set(numbers)
+            whole = "\n".join(line for k, line in enumerate(whole.split("\n")) if k not in numbers)
+        out.append(whole)
+    return pa.array(out, pa.string())
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
+    """The documents with their repeated lines removed, and ``count_col``, the number of lines that went."""
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     own = docs.withColumn("__own_th", F.xxhash64(text_col))
     met = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    return met.withColumns({text_col: text, "n_removed": n_removed}).drop("__id", "__th", "__own_th", "__gone")
+    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    return met.withColumns({text_col: _without(text_col, "__gone"), count_col: n_removed}).drop("__id", "__th", "__own_th", "__gone")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:

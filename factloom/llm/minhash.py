@@ -13,6 +13,8 @@ an empty table; other columns are not read.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -83,10 +85,12 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.n
     return value, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
-def text_set(text: str, words: int) -> np.ndarray:
-    """The set of one text."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+def text_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sets of some texts."""
+    raw = [text.encode() for text in texts]
+    starts = np.cumsum([0, *map(len, raw)])
+    values, edges = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), starts, words)
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def minima(values: np.ndarray, edges: np.ndarray, hashes: int) -> np.ndarray:
@@ -129,14 +133,13 @@ def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
                     least[some] = minima(values, packed, hashes)
                     first[some] = np.add.reduceat(values, packed[:-1])
                     second[some] = np.add.reduceat(near.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), packed[:-1])
-                keys_of = near.band_keys(least, bands).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys_of.ravel()), mask=pa.array(none))
+                keys_of = near.key_column(near.band_keys(least[some], bands), some, j - i)
                 bits = near.pack_bits(least).view(np.int64)
-                columns = [keys.slice(i, j - i), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64), mask=none) for x in (first, second)), *(pa.array(bits[:, k]) for k in range(len(sig))), lists]
+                columns = [keys.slice(i, j - i), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64), mask=none) for x in (first, second)), *(pa.array(bits[:, k]) for k in range(len(sig))), keys_of]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "f1", "f2", *sig, "bands"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    schema = "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands array<long>"
+    schema = "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands binary"
     return materialize(chosen, "features", through=run, schema=schema)
 
 
@@ -155,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         return own.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = near.link(reps, texts, lambda text: text_set(text, words), percent, hashes)
+    labels = near.link(reps, texts, partial(text_sets, words=words), percent, hashes)
     named = found.select(F.col("node").alias("doc_id"), "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return named.select(

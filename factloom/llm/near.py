@@ -1,19 +1,25 @@
 """Linking of similar sets: b-bit MinHash, banding, exact verification, connected components.
 
 Shared by the operators on documents (word shingles) and on lines (character shingles). Input is a
-table of features, one row per set at least: node (long), s0.. (packed low bits of the minima, longs)
-and bands (array<long>, a key per band).
-
-1. Band buckets with two nodes or more are found by an aggregate with map-side combine.
-2. Star round: each node is paired with the bucket head that it resembles most, by the bit counts of the
-   signatures, corrected for chance collisions. Pairs within reach of the threshold are verified on the
-   full sets, and components formed.
+written table of features, one row per set at least: node (long), band keys (binary, 8 bytes a band),
+and what else is wanted of a node.
+
+1. Buckets (:func:`members`). Every file of features is one unit. A unit deals its band keys, sorted and
+   combined (a key's least and greatest node), to parts by the key's range, as one binary value a part. A
+   part tells the units which of their keys hold several nodes, and the least of these, the bucket's
+   head; the units then yield the nodes concerned. So most keys, which nothing shares, never become rows,
+   and a key that very many nodes share is one or two entries of a unit.
+2. Star round: nodes are verified against heads of their buckets on the full sets - documents against the
+   head that they resemble most, by the bit counts of the signatures, corrected for chance collisions;
+   lines against all - and components formed.
 3. Only buckets that hold nodes of several components are looked at again. In a bucket of at most
    ``SMALL`` nodes all pairs across components within reach are verified like those of the star round.
    In a larger one the nodes' full sets are compared in blocks of bounded size, all at once by the
    product of their incidence matrices, and a block yields no more links than connect what it found. So
    no link between components that a bucket shows is lost, no bucket is capped, and the pairs of a large
    bucket are never written out.
+
+A text travels once for each block of at most ``BLOCK`` others that it is compared with.
 """
 
 from __future__ import annotations
@@ -24,10 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._common import drop_written, materialize
+from factloom.llm._common import drop_written, filesystem, materialize, tidy
 from factloom.llm.components import connected_components
 
 #: Low bits kept of each minimum, lanes in a long, and hashes in a band.
@@ -43,8 +50,10 @@ SMALL = 32
 #: Nodes of a larger bucket that one task compares with as many others, and shingles compared at a time.
 BLOCK = 500
 COLUMNS = 4096
-#: Shingles of sets that a task keeps for further pairs.
-HELD = 2_000_000
+#: Bytes of texts whose sets a task holds at a time (more where one block has more).
+HELD = 4 << 20
+#: Band keys that a unit sorts at a time.
+UNIT_KEYS = 1 << 22
 _ODD_LANES = 0x5555555555555555
 
 
@@ -79,13 +88,11 @@ def pack_bits(minima: np.ndarray) -> np.ndarray:
 
 def band_keys(minima: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     """(rows, bands) keys; a key also depends on its band's number."""
-    out = np.empty((len(minima), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(minima), band + 1, np.uint64)
-        for k in range(band * rows, band * rows + rows):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
-        out[:, band] = key
-    return out
+    least = minima[:, : bands * rows].reshape(len(minima), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), least.shape[:2])
+    for k in range(rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
+    return key
 
 
 def hash_parameters(hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,26 +118,11 @@ def differing(left: str, right: str, words: int) -> Column:
     return total
 
 
-def bitmaps(values: np.ndarray, edges: np.ndarray, words: int) -> np.ndarray:
-    """(sets, words + 1): of every set (values between edges, repeats allowed) the bits that its members
-    hash to, and the number of its values. Sets differ in as many members, at least, as in bits."""
-    out = np.zeros((len(edges) - 1, words + 1), np.uint64)
-    place = (values % np.uint64(64 * words)).astype(np.int64)
-    bit = np.uint64(1) << (place & 63).astype(np.uint64)
-    for word in range(words if len(values) else 0):
-        out[:, word] = np.bitwise_or.reduceat(np.where(place >> 6 == word, bit, np.uint64(0)), edges[:-1])
-    out[:, words] = np.diff(edges)
-    return out
-
-
-def _within_bound(signature: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows of bitmaps may reach the threshold: all that do are among them."""
-    *bits, size = signature
-    apart = np.zeros((len(left), len(right)), np.int64)
-    for word in bits:
-        word = word.view(np.uint64)
-        apart += np.bitwise_count(word[left][:, None] ^ word[right][None, :])
-    return apart * (100 + percent) <= (100 - percent) * (size[left][:, None] + size[right][None, :])
+def _within_size(signature: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows may reach the threshold by the sizes of their sets: all that do are among them."""
+    (size,) = signature
+    x, y = size[left][:, None], size[right][None, :]
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
 def estimate(lanes_differing: int, hashes: int) -> float:
@@ -148,37 +140,196 @@ def jaccard_percent(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, to_set: Callable[[str], np.ndarray], percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold; texts has (node, text)."""
+def key_column(keys: np.ndarray, some: np.ndarray, n: int) -> pa.Array:
+    """(rows, bands) keys as binary values of ``n`` rows; rows outside ``some`` (ascending) are null."""
+    width = np.zeros(n + 1, np.int32)
+    width[some + 1] = 8 * keys.shape[1]
+    absent = np.ones(n, bool)
+    absent[some] = False
+    data = pa.py_buffer(np.ascontiguousarray(keys))
+    return pa.Array.from_buffers(pa.binary(), n, [pa.array(~absent).buffers()[1], pa.py_buffer(np.cumsum(width, dtype=np.int32)), data])
+
+
+def _flat(column: pa.Array | pa.ChunkedArray, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of binary values, joined, and how many each value holds."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.copy().view(kind), np.diff(ends) // 8
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers between bounds as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    fresh = np.ones(len(sorted_values), bool)
+    fresh[1:] = sorted_values[1:] != sorted_values[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _deal(parts: int, bands: str):
+    """Rows (file, path) to (part, file, keys, nodes): the combined band keys of a file, by part."""
+
+    def dealt(file, held):
+        keys, nodes = (np.concatenate(x) for x in zip(*held))
+        if not len(keys):
+            return
+        order = np.argsort(keys)
+        keys, nodes = keys[order], nodes[order]
+        starts = _runs(keys)
+        lo, hi = np.minimum.reduceat(nodes, starts), np.maximum.reduceat(nodes, starts)
+        times = 1 + (hi > lo)
+        keys, nodes = np.repeat(keys[starts], times), np.repeat(lo, times)
+        nodes[(np.cumsum(times) - 1)[times == 2]] = hi[times == 2]
+        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        number = np.arange(parts, dtype=np.int32)
+        columns = [pa.array(number), pa.array(np.full(parts, file, np.int32)), _packed(keys, bounds), _packed(nodes, bounds)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["part", "file", "keys", "nodes"])
+        yield batch.filter(pa.array(np.diff(bounds) > 0))
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def full(node, text):
-            nonlocal size
-            if node not in held:
-                if size > HELD:
-                    held.clear()
-                    size = 0
-                held[node] = to_set(text.as_py())
-                size += len(held[node])
-            return held[node]
+        for batch in batches:
+            for file, path in zip(*(c.to_pylist() for c in batch.columns)):
+                held, size = [], 0
+                for group in _groups_of(path, ["node", bands]):
+                    keys, counts = _flat(group.column(bands))
+                    some = np.flatnonzero(counts)
+                    if not len(some):
+                        continue
+                    node, first = np.unique(group.column("node").to_numpy()[some], return_index=True)
+                    keys = keys.reshape(len(some), -1)[first]
+                    held.append((keys.ravel(), np.repeat(node, keys.shape[1])))
+                    size += keys.size
+                    if size >= UNIT_KEYS:
+                        yield from dealt(file, held)
+                        held, size = [], 0
+                if held:
+                    yield from dealt(file, held)
 
+    return run
+
+
+def _groups_of(path: str, columns: list[str]):
+    """The row groups of a Parquet file, one at a time."""
+    store, at = filesystem(path)
+    with store.open_input_file(at) as stream:
+        file = pq.ParquetFile(stream)
+        for group in range(file.num_row_groups):
+            yield file.read_row_group(group, columns=columns, use_threads=False)
+
+
+def _heads(batches):
+    """Dealt keys of one task to (file, keys, heads): those of a file's keys that hold several nodes."""
+    held = []
+    for batch in batches:
+        keys, counts = _flat(batch.column(2))
+        nodes, _ = _flat(batch.column(3), np.int64)
+        held.append((keys, nodes, np.repeat(batch.column(1).to_numpy(), counts)))
+    if not held:
+        return
+    keys, nodes, files = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    starts = _runs(keys)
+    lo = np.minimum.reduceat(nodes, starts)
+    times = np.diff(np.append(starts, len(keys)))
+    shared = np.repeat(np.maximum.reduceat(nodes, starts) > lo, times)
+    keys, heads, files = keys[shared], np.repeat(lo, times)[shared], files[order][shared]
+    order = np.lexsort((keys, files))
+    keys, heads, files = keys[order], heads[order], files[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (files[1:] != files[:-1])
+    keys, heads, files = keys[fresh], heads[fresh], files[fresh]
+    if len(files):
+        starts = _runs(files)
+        bounds = np.append(starts, len(files))
+        yield pa.RecordBatch.from_arrays([pa.array(files[starts]), _packed(keys, bounds), _packed(heads, bounds)], names=["file", "keys", "heads"])
+
+
+def _gather(carried: list[str], bands: str):
+    """Rows (file, path, keys, heads) to the rows of the files that hold such keys."""
+
+    def run(batches):
+        told: dict[str, list] = {}
         for batch in batches:
-            a, b, text_a, text_b = batch.columns
-            nodes_a, nodes_b = a.to_pylist(), b.to_pylist()
-            good = [jaccard_percent(full(x, s), full(y, t), percent) for x, y, s, t in zip(nodes_a, nodes_b, text_a, text_b)]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(good, pa.bool_())], names=["a", "b", "good"])
+            for path, keys, heads in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                told.setdefault(path, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(heads, np.int64)))
+        for path, found in told.items():
+            keys, heads = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys)
+            keys, heads = keys[order], heads[order]
+            for group in _groups_of(path, [*carried, bands]):
+                own, counts = _flat(group.column(bands))
+                some = np.flatnonzero(counts)
+                if not len(some):
+                    continue
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = (keys[at] == own).reshape(len(some), -1)
+                sizes = hit.sum(axis=1)
+                wanted = np.flatnonzero(sizes)
+                if not len(wanted):
+                    continue
+                hit = hit.ravel()
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[wanted])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (own[hit].view(np.int64), heads[at[hit]])]
+                rows = group.select(carried).take(pa.array(some[wanted])).combine_chunks()
+                columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=[*carried, "keys", "heads"])
 
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(both.select("a", "b", "text_a", "text_b"), "tested", through=run, schema="a long, b long, good boolean")
+    return run
 
 
-def _by_group(width: int, compared: Callable):
+def members(features: DataFrame, carried: list[str], bands: str = "bands") -> DataFrame:
+    """A written table of the nodes that share a band with another, one row each: the columns ``carried``
+    (node first), keys (array<long>, the shared bands) and heads (array<long>, the least node of each)."""
+    spark = features.sparkSession
+    types = {f.name: f.dataType.simpleString() for f in features.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in carried) + ", keys array<long>, heads array<long>"
+    files = features.inputFiles()
+    if not files:
+        return spark.createDataFrame([], schema)
+    units = spark.createDataFrame([*enumerate(files)], "file int, path string").repartitionById(len(files), "file")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.mapInArrow(tidy(_deal(parts, bands)), "part int, file int, keys binary, nodes binary")
+    told = dealt.repartitionById(parts, "part").mapInArrow(tidy(_heads), "file int, keys binary, heads binary")
+    told = told.join(units, "file").select("file", "path", "keys", "heads").repartitionById(len(files), "file")
+    met = materialize(told, "met", through=_gather(carried, bands), schema=schema)
+    nodes = materialize(met.dropDuplicates([carried[0]]), "members")
+    drop_written(met)
+    return nodes
+
+
+def verify(pairs: DataFrame, texts: DataFrame, to_sets: Callable[[list], list[np.ndarray]], percent: int) -> DataFrame:
+    """A written table of the pairs (a, b), with good: whether their full sets reach the threshold; texts
+    has (node, text). Blocks hold a text and those that it is compared with."""
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    others = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    dealt = others.union(heads).join(texts, "node").select("a", "part", "side", "node", "text")
+    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "side")
+
+    def compared(columns, sets):
+        side, node, _ = columns
+        if side[0] or len(node) < 2:
+            return None
+        good = [jaccard_percent(sets[0], x, percent) for x in sets[1:]]
+        return np.full(len(good), node[0]), node[1:], np.array(good, bool)
+
+    return materialize(dealt, "tested", through=_by_group(2, compared, ["a", "b", "good"], to_sets, text=2), schema="a long, b long, good boolean")
+
+
+def _by_group(width: int, compared: Callable, names: list[str], to_sets: Callable | None = None, text: int | None = None):
     """A function of Arrow batches of rows sorted by their first ``width`` columns: whole groups, as lists
-    of columns, go through ``compared``, which returns arrays a and b of pairs."""
+    of the other columns (and the sets of column ``text``), go through ``compared``, which returns arrays
+    of rows or None."""
 
     def edges_of(columns):
         change = np.any([c[1:] != c[:-1] for c in columns[:width]], axis=0)
@@ -186,11 +337,25 @@ def _by_group(width: int, compared: Callable):
         return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]) if n else np.zeros(1, np.int64)
 
     def found(columns, edges):
-        pairs = [compared([c[start:end] for c in columns[width:]]) for start, end in zip(edges[:-1], edges[1:])]
-        pairs = [p for p in pairs if len(p[0])]
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        groups = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        others = columns[width:]
+        while groups:
+            take = len(groups)
+            if text is not None:
+                bytes_to, take = 0, 0
+                while take < len(groups) and (not take or bytes_to < HELD):
+                    bytes_to += sum(map(len, others[text][groups[take][0] : groups[take][1]]))
+                    take += 1
+            now, groups = groups[:take], groups[take:]
+            first = now[0][0]
+            sets = to_sets(others[text][first : now[-1][1]].tolist()) if text is not None else None
+            made = []
+            for start, end in now:
+                own = [c[start:end] for c in others]
+                made.append(compared(own, sets[start - first : end - first]) if sets is not None else compared(own))
+            made = [x for x in made if x is not None and len(x[0])]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made)], names=names)
 
     def run(batches):
         rest: list[np.ndarray] | None = None
@@ -225,9 +390,9 @@ def _small(within: Callable):
         every = np.arange(len(node))
         close = within(signature, every, every) & (component[:, None] < component[None, :])
         i, j = np.nonzero(close)
-        return node[i], node[j]
+        return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
-    return _by_group(1, compared)
+    return _by_group(1, compared, ["a", "b"])
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -269,64 +434,66 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _large(within: Callable, to_set: Callable[[str], np.ndarray], percent: int):
+def _large(within: Callable, to_sets: Callable[[list], list[np.ndarray]], percent: int):
     """Links across components of a block (side, node, component, text, s0..); side 0 left, 1 right, 2 both."""
 
-    def compared(columns):
-        side, node, component, text, *signature = columns
+    def compared(columns, sets):
+        side, node, component, _, *signature = columns
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         close = within(signature, left, right) & (component[left][:, None] != component[right][None, :])
         left, right = left[close.any(1)], right[close.any(0)]
         if not len(left):
-            return node[:0], node[:0]
-        sets = {i: to_set(text[i]) for i in {*left.tolist(), *right.tolist()}}
+            return None
         a, b = [sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()]
         common = intersections(a, b).astype(np.int64)
         union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
         linked = (common > 0) & (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
         pairs = np.array(spanning(linked), np.int64).reshape(-1, 2)
-        return node[left[pairs[:, 0]]], node[right[pairs[:, 1]]]
+        x, y = node[left[pairs[:, 0]]], node[right[pairs[:, 1]]]
+        return np.minimum(x, y), np.maximum(x, y)
 
-    return _by_group(3, compared)
+    return _by_group(3, compared, ["a", "b"], to_sets, text=3)
 
 
-def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], percent: int, hashes: int, slack: float | None = SLACK) -> DataFrame:
+def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_sets: Callable[[list], list[np.ndarray]], percent: int, hashes: int | None = None, sig: list[str] | None = None, bands: str = "bands") -> DataFrame:
     """(node, component) of every node that is linked to another; the label is the smallest node.
 
-    ``texts`` takes a table of nodes and returns (node, text) of them, one row each. Without ``slack``
-    the signatures are :func:`bitmaps` of so many words instead of the hashes' bits, and only pairs that
-    cannot reach the threshold by their bitmaps are left out: no link that a bucket shows is lost.
+    ``features`` is a written table (node, signature columns, bands). ``texts`` takes a table of nodes and
+    returns (node, text) of them, one row each, or is the features' column of texts. With ``hashes`` the
+    signature is the hashes' bits (s0..), which also leave out pairs whose estimate lies ``SLACK`` standard
+    deviations below the threshold; without, it is the one column ``sig`` of the sets' sizes, and only
+    pairs that cannot reach the threshold by their sizes are left out: no link that a bucket shows is lost.
     """
-    if slack is None:
-        words, within = hashes + 1, partial(_within_bound, percent=percent)
-        apart = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(hashes)), F.lit(0))
-        near_head = F.col("apart") * (100 + percent) <= (F.col(f"l{hashes}") + F.col(f"r{hashes}")) * (100 - percent)
+    if hashes is None:
+        within = partial(_within_size, percent=percent)
     else:
-        words, most = n_words(hashes), reach(percent / 100, hashes, slack)
-        within, apart, near_head = partial(_within_reach, most=most), differing("l", "r", words), F.col("apart") <= most
-    sig = [f"s{i}" for i in range(words)]
-    banded = features.select("node", F.explode("bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head"), "buckets")
-    members = materialize(banded.join(buckets, "key").select("key", "node", "head").distinct(), "members")
-    drop_written(buckets)
-    nodes = members.select("node").distinct()
-    signatures = materialize(features.select("node", *sig).join(nodes, "node", "left_semi").distinct(), "signatures")
-    texts = materialize(texts(nodes), "texts")
-
-    heads = members.filter("node <> head").select("node", "head").distinct()
-    heads = heads.join(signatures.select("node", *[F.col(s).alias(f"l{s[1:]}") for s in sig]), "node")
-    heads = heads.join(signatures.select(F.col("node").alias("head"), *[F.col(s).alias(f"r{s[1:]}") for s in sig]), "head")
-    heads = heads.withColumn("apart", apart).filter(near_head)
-    star = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
-    tested = verify(star.select(F.col("head").alias("a"), F.col("node").alias("b")), texts, to_set, percent)
+        words, most = n_words(hashes), reach(percent / 100, hashes)
+        sig, within = [f"s{i}" for i in range(words)], partial(_within_reach, most=most)
+    nodes = members(features, ["node", *sig, *([texts] if isinstance(texts, str) else [])], bands)
+    signatures = nodes.select("node", *sig)
+    made = not isinstance(texts, str)
+    texts = materialize(texts(nodes.select("node")), "texts") if made else nodes.select("node", F.col(texts).alias("text"))
+    buckets = nodes.select("node", F.explode(F.arrays_zip("keys", "heads")).alias("at")).select(F.col("at.keys").alias("key"), "node", F.col("at.heads").alias("head"))
+
+    heads = buckets.filter("node <> head").select("node", "head").distinct()
+    if hashes is not None:
+        heads = heads.join(signatures.select("node", *[F.col(s).alias(f"l{s[1:]}") for s in sig]), "node")
+        heads = heads.join(signatures.select(F.col("node").alias("head"), *[F.col(s).alias(f"r{s[1:]}") for s in sig]), "head")
+        heads = heads.withColumn("apart", differing("l", "r", words)).filter(F.col("apart") <= most)
+        heads = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
+    star = materialize(heads.select(F.col("head").alias("a"), F.col("node").alias("b")), "star")
+    tested = verify(star, texts, to_sets, percent)
+    drop_written(star)
     labels = connected_components(tested.filter("good"))
 
-    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     mixed = materialize(named.join(mixed.select("key", "n"), "key").join(signatures, "node"), "mixed")
     small = mixed.filter(F.col("n") <= SMALL).select("key", "node", "component", *sig).repartition("key").sortWithinPartitions("key")
     pairs = materialize(small, "pairs", through=_small(within), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    links = verify(pairs, texts, to_set, percent).filter("good").select("a", "b")
+    pairs = materialize(pairs, "untested")
+    again = verify(pairs, texts, to_sets, percent)
+    links = again.filter("good").select("a", "b")
 
     large = mixed.filter(F.col("n") > SMALL)
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -336,10 +503,10 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame], to_set: C
     dealt = dealt.select("key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), side, "node", "component", *sig).join(texts, "node")
     order = ["key", "part_a", "part_b"]
     dealt = dealt.select(*order, "side", "node", "component", "text", *sig).repartition(*order).sortWithinPartitions(*order)
-    links = links.union(materialize(dealt, "blocks", through=_large(within, to_set, percent), schema="a long, b long"))
-    for table in (members, signatures, texts, mixed):
+    links = links.union(materialize(dealt, "blocks", through=_large(within, to_sets, percent), schema="a long, b long"))
+    if not links.isEmpty():
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = connected_components(known.union(links))
+    for table in (nodes, mixed, tested, pairs, again, *([texts] if made else [])):
         drop_written(table)
-    if links.isEmpty():
-        return labels
-    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(known.union(links))
+    return labels
