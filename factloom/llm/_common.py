@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -59,6 +59,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a row group of a written table.
 GROUP_BYTES = 16 << 20
 
@@ -77,10 +78,8 @@ def materialize(df: DataFrame, name: str, compact: bool = False, through: Callab
     read_as = df.schema if through is None else spark.createDataFrame([], schema).schema
     if compact:
         df = df.hint("rebalance")
-    written = df.mapInArrow(tidy(_writer(path, through)), "path string")
-    files = [row[0] for row in written.collect()]
-    del df, written
-    sweep(spark)
+    with shuffles_removed(spark):
+        files = [row[0] for row in df.mapInArrow(tidy(_writer(path, through)), "path string").collect()]
     return spark.read.schema(read_as).parquet(*files) if files else spark.createDataFrame([], read_as)
 
 
@@ -147,10 +146,15 @@ def _writer(path: str, through: Callable | None):
     return run
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let the driver drop what nothing refers to, so that Spark removes shuffle files of past steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries built and run within have their shuffle files removed as soon as they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def drop_written(df: DataFrame) -> None:

@@ -484,11 +484,15 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     star = materialize(heads.select(F.col("head").alias("a"), F.col("node").alias("b")), "star")
     tested = verify(star, texts, to_sets, percent)
     drop_written(star)
-    labels = connected_components(tested.filter("good"))
+    labels = connected_components(tested.filter("good").select("a", "b"))
 
     named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     mixed = materialize(named.join(mixed.select("key", "n"), "key").join(signatures, "node"), "mixed")
+    if mixed.isEmpty():
+        for table in (nodes, tested, *([texts] if made else [])):
+            drop_written(table)
+        return labels
     small = mixed.filter(F.col("n") <= SMALL).select("key", "node", "component", *sig).repartition("key").sortWithinPartitions("key")
     pairs = materialize(small, "pairs", through=_small(within), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     pairs = materialize(pairs, "untested")
