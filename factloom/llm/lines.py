@@ -129,7 +129,14 @@ def line_sets(lines: list[bytes], size: int | None = None) -> list[np.ndarray]:
         ends = np.searchsorted(at, ends)
     whole = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
     own, edges = _values(_shingles(codes), ends[:-1], np.diff(ends), whole, size)
-    return [np.unique(own[a:b]) if x else own[:0] for a, b, x in zip(edges[:-1], edges[1:], lines)]
+    return [_sorted_set(own[a:b]) if x else own[:0] for a, b, x in zip(edges[:-1].tolist(), edges[1:].tolist(), lines)]
+
+
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values if fresh.all() else values[fresh]
 
 
 def _bins(hashes: np.ndarray, edges: np.ndarray, bins: int) -> np.ndarray:
@@ -235,7 +242,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splits) and aggregated with map-side combine."""
     found = occurrences(docs, id_col, text_col)
     links = [near.link(found, "form", partial(line_sets, size=kind.size), PERCENT, sig=[f"n{kind.size}"], bands=f"bands{kind.size}") for kind in KINDS]
-    labels = connected_components(reduce(DataFrame.union, links).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    labels = connected_components(reduce(DataFrame.union, links))
 
     counted = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("guard").alias("g1"), F.max("guard").alias("g2"))
     named = counted.join(labels, "node", "left").filter("component is not null and g1 = g2 or component is null and n > 1")
@@ -270,8 +277,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     own = docs.withColumn("__own_th", F.xxhash64(text_col))
     met = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left")
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return met.withColumns({text_col: _without(text_col, "__gone"), count_col: n_removed}).drop("__id", "__th", "__own_th", "__gone")
+    some = F.col("__gone").isNotNull()
+    changed = _without(F.when(some, F.col(text_col)), "__gone")  # other texts stay out of Python
+    n_removed = F.when(some, F.size("__gone")).otherwise(0).cast("long")
+    return met.withColumns({text_col: F.coalesce(changed, F.col(text_col)), count_col: n_removed}).drop("__id", "__th", "__own_th", "__gone")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import near
 from factloom.llm._common import bytes_view, materialize, slices
+from factloom.llm.components import connected_components
 
 BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
@@ -158,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
         return own.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = near.link(reps, texts, partial(text_sets, words=words), percent, hashes)
+    labels = connected_components(near.link(reps, texts, partial(text_sets, words=words), percent, hashes))
     named = found.select(F.col("node").alias("doc_id"), "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return named.select(

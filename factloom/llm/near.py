@@ -9,9 +9,9 @@ and what else is wanted of a node.
    part tells the units which of their keys hold several nodes, and the least of these, the bucket's
    head; the units then yield the nodes concerned. So most keys, which nothing shares, never become rows,
    and a key that very many nodes share is one or two entries of a unit.
-2. Star round: nodes are verified against heads of their buckets on the full sets - documents against the
-   head that they resemble most, by the bit counts of the signatures, corrected for chance collisions;
-   lines against all - and components formed.
+2. Star round: each node is paired with the bucket head that it resembles most, by the bit counts of the
+   signatures, corrected for chance collisions, or (lines) by the bands that they share. Pairs within reach
+   of the threshold are verified on the full sets, and components formed.
 3. Only buckets that hold nodes of several components are looked at again. In a bucket of at most
    ``SMALL`` nodes all pairs across components within reach are verified like those of the star round.
    In a larger one the nodes' full sets are compared in blocks of bounded size, all at once by the
@@ -136,7 +136,9 @@ def jaccard_percent(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = min(len(a), len(b)), max(len(a), len(b))
     if not small or 100 * small < percent * large:
         return False
-    common = np.intersect1d(a, b, assume_unique=True).size
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges the two runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= percent * (small + large - common)
 
 
@@ -236,7 +238,7 @@ def _heads(batches):
         return
     keys, nodes, files = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # merges the units' runs
     keys, nodes = keys[order], nodes[order]
     starts = _runs(keys)
     lo = np.minimum.reduceat(nodes, starts)
@@ -456,7 +458,7 @@ def _large(within: Callable, to_sets: Callable[[list], list[np.ndarray]], percen
 
 
 def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_sets: Callable[[list], list[np.ndarray]], percent: int, hashes: int | None = None, sig: list[str] | None = None, bands: str = "bands") -> DataFrame:
-    """(node, component) of every node that is linked to another; the label is the smallest node.
+    """Links (a, b) that connect what all links between the nodes connect.
 
     ``features`` is a written table (node, signature columns, bands). ``texts`` takes a table of nodes and
     returns (node, text) of them, one row each, or is the features' column of texts. With ``hashes`` the
@@ -475,12 +477,14 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     texts = materialize(texts(nodes.select("node")), "texts") if made else nodes.select("node", F.col(texts).alias("text"))
     buckets = nodes.select("node", F.explode(F.arrays_zip("keys", "heads")).alias("at")).select(F.col("at.keys").alias("key"), "node", F.col("at.heads").alias("head"))
 
-    heads = buckets.filter("node <> head").select("node", "head").distinct()
+    heads = buckets.filter("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("bands"))
     if hashes is not None:
         heads = heads.join(signatures.select("node", *[F.col(s).alias(f"l{s[1:]}") for s in sig]), "node")
         heads = heads.join(signatures.select(F.col("node").alias("head"), *[F.col(s).alias(f"r{s[1:]}") for s in sig]), "head")
         heads = heads.withColumn("apart", differing("l", "r", words)).filter(F.col("apart") <= most)
         heads = heads.groupBy("node").agg(F.min_by("head", "apart").alias("head"))
+    else:
+        heads = heads.groupBy("node").agg(F.max_by("head", "bands").alias("head"))
     star = materialize(heads.select(F.col("head").alias("a"), F.col("node").alias("b")), "star")
     tested = verify(star, texts, to_sets, percent)
     drop_written(star)
@@ -492,7 +496,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     if mixed.isEmpty():
         for table in (nodes, tested, *([texts] if made else [])):
             drop_written(table)
-        return labels
+        return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     small = mixed.filter(F.col("n") <= SMALL).select("key", "node", "component", *sig).repartition("key").sortWithinPartitions("key")
     pairs = materialize(small, "pairs", through=_small(within), schema="a long, b long").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     pairs = materialize(pairs, "untested")
@@ -508,9 +512,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     order = ["key", "part_a", "part_b"]
     dealt = dealt.select(*order, "side", "node", "component", "text", *sig).repartition(*order).sortWithinPartitions(*order)
     links = links.union(materialize(dealt, "blocks", through=_large(within, to_sets, percent), schema="a long, b long"))
-    if not links.isEmpty():
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = connected_components(known.union(links))
+    links = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "connecting")
     for table in (nodes, mixed, tested, pairs, again, *([texts] if made else [])):
         drop_written(table)
-    return labels
+    return links
