@@ -58,7 +58,9 @@ KINDS = (Kind(4, 0, 100, 5, 24), Kind(8, 80, None, 4, 17))
 PERCENT = 80
 BLOCK_BYTES = 1 << 18
 #: Lines that a task remembers, to work out the features of a repeated one once.
-SEEN = 200_000
+SEEN = 100_000
+#: Rows of a batch that are worked on at a time.
+ROWS = 500
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _REPEAT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -170,7 +172,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             keys, text_hashes = batch.column(0), batch.column(2)
             flat, offsets = bytes_view(batch.column(1))
             total = offsets[-1] - offsets[0]

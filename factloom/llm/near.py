@@ -51,9 +51,9 @@ SMALL = 32
 BLOCK = 500
 COLUMNS = 4096
 #: Bytes of texts whose sets a task holds at a time (more where one block has more).
-HELD = 4 << 20
+HELD = 1 << 20
 #: Band keys that a unit sorts at a time.
-UNIT_KEYS = 1 << 22
+UNIT_KEYS = 1 << 19
 _ODD_LANES = 0x5555555555555555
 
 
