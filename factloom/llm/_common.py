@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,11 +26,14 @@ _OWN_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (unit tests in local mode) a temporary folder is made once per
-    application and removed when the interpreter ends.
+    Where the setting is absent in local mode (unit tests) a temporary folder is made once per application
+    and removed when the interpreter ends; on a cluster, whose executors do not share the driver's disk,
+    its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         if app not in _OWN_DIRS:
             made = tempfile.mkdtemp(prefix="factloom-shared-")
@@ -59,7 +63,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a row group of a written table.
 GROUP_BYTES = 16 << 20
 
@@ -78,8 +81,7 @@ def materialize(df: DataFrame, name: str, compact: bool = False, through: Callab
     read_as = df.schema if through is None else spark.createDataFrame([], schema).schema
     if compact:
         df = df.hint("rebalance")
-    with shuffles_removed(spark):
-        files = [row[0] for row in df.mapInArrow(tidy(_writer(path, through)), "path string").collect()]
+    files = [row[0] for row in df.mapInArrow(tidy(_writer(path, through)), "path string").collect()]
     return spark.read.schema(read_as).parquet(*files) if files else spark.createDataFrame([], read_as)
 
 
@@ -146,15 +148,12 @@ def _writer(path: str, through: Callable | None):
     return run
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Queries built and run within have their shuffle files removed as soon as they end."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of past steps, after a step that wrote much. Spark removes them
+    when nothing on the driver refers to them any more; to remove them when a query ends is not safe, as
+    a stage whose result the query no longer needed may still read them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_written(df: DataFrame) -> None:

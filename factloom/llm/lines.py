@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from factloom.llm import near
-from factloom.llm._common import bytes_view, drop_written, materialize, slices
+from factloom.llm._common import bytes_view, drop_written, materialize, slices, sweep
 from factloom.llm.components import connected_components
 from factloom.llm.minhash import _LOWER, _SPACE, minima
 
@@ -253,13 +253,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = found.select("doc_id", "th", "line_no", "node", "guard").join(named, "node")
     places = materialize(places.select("doc_id", "th", F.col("line_no").cast("int").alias("line_no"), F.coalesce("component", "node").alias("component"), form.alias("form")), "places")
     drop_written(found)
+    sweep(docs.sparkSession)
     first = places.groupBy("component", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("kept"))
     first = materialize(first.filter("n > 1").select("component", "form", "kept"), "kept")
     gone = places.join(first, ["component", "form"]).filter(F.struct("doc_id", "th", "line_no") != F.col("kept"))
     gone = materialize(gone.select("doc_id", "th", "line_no"), "removed")
     for table in (named, places, first):
         drop_written(table)
-    return materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")), "gone")
+    gone = materialize(gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")), "gone")
+    sweep(docs.sparkSession)
+    return gone
 
 
 @F.arrow_udf(StringType())

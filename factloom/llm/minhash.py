@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import near
-from factloom.llm._common import bytes_view, materialize, slices
+from factloom.llm._common import bytes_view, materialize, slices, sweep
 from factloom.llm.components import connected_components
 
 BLOCK_BYTES = 1 << 18
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
     reps = full.select("node", "n", "f1", "f2", *sig, "bands").join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n"), ["node", "f1", "f2", "n"], "left_semi").dropDuplicates(["node", "f1", "f2"])
     reps = materialize(reps.select("node", *sig, "bands"), "representatives")
+    sweep(docs.sparkSession)
 
     def texts(nodes: DataFrame) -> DataFrame:
         own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))

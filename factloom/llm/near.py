@@ -34,7 +34,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._common import drop_written, filesystem, materialize, tidy
+from factloom.llm._common import drop_written, filesystem, materialize, sweep, tidy
 from factloom.llm.components import connected_components
 
 #: Low bits kept of each minimum, lanes in a long, and hashes in a band.
@@ -304,8 +304,10 @@ def members(features: DataFrame, carried: list[str], bands: str = "bands") -> Da
     told = dealt.repartitionById(parts, "part").mapInArrow(tidy(_heads), "file int, keys binary, heads binary")
     told = told.join(units, "file").select("file", "path", "keys", "heads").repartitionById(len(files), "file")
     met = materialize(told, "met", through=_gather(carried, bands), schema=schema)
+    sweep(spark)
     nodes = materialize(met.dropDuplicates([carried[0]]), "members")
     drop_written(met)
+    sweep(spark)
     return nodes
 
 
@@ -488,6 +490,7 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     star = materialize(heads.select(F.col("head").alias("a"), F.col("node").alias("b")), "star")
     tested = verify(star, texts, to_sets, percent)
     drop_written(star)
+    sweep(features.sparkSession)
     labels = connected_components(tested.filter("good").select("a", "b"))
 
     named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -515,4 +518,5 @@ def link(features: DataFrame, texts: Callable[[DataFrame], DataFrame] | str, to_
     links = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "connecting")
     for table in (nodes, mixed, tested, pairs, again, *([texts] if made else [])):
         drop_written(table)
+    sweep(features.sparkSession)
     return links
