@@ -144,13 +144,23 @@ class Engine:
         return named.select(F.col("lo").alias("keep"), F.col("hi").alias("drop"), "keep_name", "drop_name", "score").orderBy(F.desc("score"), "keep", "drop")
 
     def resolve(self, threshold: float, dry_run: bool = False, tenant: int = DEFAULT_TENANT) -> dict:
-        """Merge entities of similar names: how many gave way, and the candidates from before."""
-        found = [r.asDict() for r in self.candidates(threshold, tenant).collect()]
-        if dry_run or not found:
+        """Merge entities of similar names: how many gave way, and the candidates from before, a DataFrame.
+
+        What is merged follows from links, of which a group of equal names has one a name; the pairs of
+        such a group are only written out where the candidates are read."""
+        found = self.candidates(threshold, tenant)
+        if dry_run:
             return {"merged": 0, "candidates": found}
-        names = {r["keep"]: r["keep_name"] for r in found} | {r["drop"]: r["drop_name"] for r in found}
-        pairs = self.spark.createDataFrame([(r["keep"], r["drop"]) for r in found], "lo long, hi long")
-        gone = resolution.survivors(pairs).filter("node <> survivor").collect()
-        seq, _ = self.log.counters()
-        self._append([{"ingest_seq": seq + i, "op": "merge", "tenant": tenant, "subject": names[r["node"]], "object": names[r["survivor"]], "tx_time": self.clock()} for i, r in enumerate(gone)])
-        return {"merged": len(gone), "candidates": found}
+        nodes = self.nodes()
+        own = self._ids(self.facts().filter(F.col("tenant") == tenant))
+        links = resolution.resolution_links(resolution.tenant_names(own, nodes, tenant), threshold)
+        gone = resolution.survivors(links).filter("node <> survivor")
+        gone = gone.join(nodes.select(F.col("node_id").alias("node"), F.col("name").alias("subject")), "node")
+        gone = gone.join(nodes.select(F.col("node_id").alias("survivor"), F.col("name").alias("object")), "survivor")
+        gone = lineage.written(gone, "merges")
+        merged = gone.count()
+        if merged:
+            seq, _ = self.log.counters()
+            numbered = dictionary.number_rows(gone, "node", name="n", start=0)
+            self.log.append(numbered.withColumns({"ingest_seq": F.col("n") + seq, "op": F.lit("merge"), "tenant": F.lit(tenant), "tx_time": F.lit(self.clock()).cast("long")}))
+        return {"merged": merged, "candidates": found}

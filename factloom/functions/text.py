@@ -1,4 +1,5 @@
-"""Text expressions: tokens, names, costs and sentences. All run inside whole-stage code."""
+"""Text expressions: tokens, names, costs and sentences. All are built-in functions on the JVM; those with
+a lambda function are interpreted, so callers work them out once a row."""
 
 from __future__ import annotations
 
@@ -7,11 +8,13 @@ from pyspark.sql import functions as F
 
 #: Words that a name's normal form leaves out.
 NAME_STOPWORDS = ("inc", "llc", "ltd", "corp", "co", "the")
-_APART = r"[^\p{L}\p{M}\p{N}]+"
+#: What lies between tokens: neither of the Unicode property Alphabetic nor a number. Accents that stand apart
+#: from their letters and vowel killers are not alphabetic; vowel signs and circled letters are.
+_APART = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, marks and digits. Null text has none."""
+    """Lower-case runs of alphabetic characters and numbers. Null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _APART), lambda t: t != "")
 
 

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.errors import StorageError
+
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session; where it is unset in local mode (tests), a temporary folder
+    of our own. On a cluster the setting must be there: executors do not share the driver's disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise StorageError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
@@ -31,3 +38,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+        if "/factloom-" in folder:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

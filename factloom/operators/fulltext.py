@@ -1,15 +1,13 @@
 """BM25 over any (key, text) table.
 
-For a query of few terms nothing is exploded or shuffled: every text yields its length and its counts of
-the query's terms inside the scan's stage, one aggregate gives the corpus statistics, and those, a single
-row, are joined back. For many queries :func:`postings` keeps an inverted table, partitioned by term.
+For a query of few terms nothing is shuffled: every text is cut once, whatever the number of terms, into
+its length and those of its tokens that the query has, one aggregate gives the corpus statistics, and
+those, a single row, are joined back. For many queries :func:`postings` keeps an inverted table, partitioned by term.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,12 @@ K1, B = 1.5, 0.75
 
 def query_terms(query: str) -> list[str]:
     """The query's tokens, repeats included, as the column expression would cut them."""
-    kept = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in query.lower())
-    return re.findall(r"\S+", kept)
+    return regex.findall(r"[\p{Alphabetic}\p{N}]+", query.lower())
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column whose value is worked out once a row: the optimizer does not copy it into what uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -38,10 +40,12 @@ def bm25(corpus: DataFrame, query: str, key: str = "key", text: str = "text") ->
     query or corpus gives no rows; texts without tokens count in the corpus statistics."""
     terms = query_terms(query)
     distinct = list(dict.fromkeys(terms))
-    words = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
-    counted = words.select("key", F.size("words").alias("dl"), *[term_count(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(distinct)])
     if not distinct:
-        return counted.select("key", F.lit(0.0).alias("score")).filter(F.lit(False))
+        return corpus.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).filter(F.lit(False))
+    words = _once(corpus.select(F.col(key).alias("key"), F.col(text).alias("text")), "words", tokens(F.col("text")))
+    asked = F.filter("words", lambda t: t.isin(distinct))
+    cut = _once(words, "cut", F.struct(F.size("words").alias("dl"), asked.alias("hits"))).select("key", "cut.dl", "cut.hits")
+    counted = cut.select("key", "dl", *[term_count(F.col("hits"), t).alias(f"tf{i}") for i, t in enumerate(distinct)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))])
     met = counted.filter(F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(distinct))]) > 0).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -57,15 +61,15 @@ def search(corpus: DataFrame, query: str, k: int, key: str = "key", text: str =
 
 def postings(corpus: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """The inverted table (term, key, tf, dl), for many queries over one corpus."""
-    words = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
+    words = _once(corpus.select(F.col(key).alias("key"), F.col(text).alias("text")), "words", tokens(F.col("text")))
     counted = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term"))
     return counted.groupBy("term", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(corpus: DataFrame, text: str = "text") -> DataFrame:
     """One row: n texts, total and mean length in tokens (0 for an empty corpus)."""
-    size = F.size(tokens(F.col(text)))
-    return corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_len"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avgdl"))
+    sized = _once(corpus.select(F.col(text).alias("text")), "dl", F.size(tokens(F.col("text"))))
+    return sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def bm25_postings(index: DataFrame, stats: DataFrame, query: str) -> DataFrame:

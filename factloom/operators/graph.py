@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.temporal import AsOf, as_of
 from factloom.functions.text import display_name, verbalize
-from factloom.lineage import written
+from factloom.lineage import dropped, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -21,7 +21,10 @@ def _half_round(edges: DataFrame, large: bool) -> DataFrame:
         moved = edges.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
     else:
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return written(moved.filter("u > v").distinct(), "edges")
+    after = written(moved.filter("u > v").distinct(), "edges")
+    dropped(least)
+    dropped(edges)
+    return after
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -29,7 +32,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     edges may be given.
 
     Alternating star rounds (large-star, small-star) until nothing moves: a logarithmic number of rounds
-    of aggregates with map-side combine and joins, whatever the degree of a node.
+    of aggregates with map-side combine and joins, whatever the degree of a node. The tables of a round are
+    deleted when the next is written.
     """
     start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(start, "edges")

@@ -60,7 +60,8 @@ class Service:
         return {"communities": [r.asDict() for r in self.engine.communities(tenant).collect()]}
 
     def _resolve(self, body: dict, tenant: int) -> dict:
-        return self.engine.resolve(float(body["threshold"]), bool(body.get("dry_run", False)), tenant)
+        found = self.engine.resolve(float(body["threshold"]), bool(body.get("dry_run", False)), tenant)
+        return found | {"candidates": [r.asDict() for r in found["candidates"].collect()]}
 
     # -- JSON-RPC
 

@@ -72,10 +72,10 @@ def test_against_model(spark, width):
             edge += 1
             ops.append(upsert(seq, edge, draw.randint(0, 500), draw.choice(["unique", "append", "semantic"]), draw.choice("ABC"), draw.randint(0, 1)))
     upserts = frame(spark, ops).filter("op = 'upsert'").drop("op", "retract_target")
-    assert facts.next_unique(upserts, range_by="ingest_seq", range_ms=width).count() == edge
+    assert facts.next_unique(upserts, width=width).count() == edge
     assert spans(spark, ops) == model(ops)
-    near = {r.edge_id: r.closer and r.closer.edge_id for r in facts.next_unique(upserts, range_by="ingest_seq", range_ms=width).collect()}
-    far = {r.edge_id: r.closer and r.closer.edge_id for r in facts.next_unique(upserts, range_by="ingest_seq", range_ms=10**9).collect()}
+    near = {r.edge_id: r.closer and r.closer.edge_id for r in facts.next_unique(upserts, width=width).collect()}
+    far = {r.edge_id: r.closer and r.closer.edge_id for r in facts.next_unique(upserts, width=10**9).collect()}
     assert near == far
 
 
