@@ -4,7 +4,9 @@ A text is cut before every space that a visible character follows, and between a
 an ASCII punctuation mark. The byte-level pre-tokenizer always starts a new match there, so the ids
 of the pieces, joined, are the ids of the whole text. Pieces are dictionary-encoded by Arrow; only
 pieces not met before go through the library: a run of Latin letters straight to its BPE model (such
-a piece is one match of the pre-tokenizer), any other through the whole tokenizer.
+a piece is one match of the pre-tokenizer), any other through the whole tokenizer. An added token of the
+tokenizer (such as the one that ends texts) has its own id where a text spells it out, as in the library:
+it is a piece of its own, and the text before it ends there.
 """
 
 from __future__ import annotations
@@ -66,8 +68,8 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = Tokenizer(self.tokenizer.model)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._begin()
@@ -152,6 +154,22 @@ class PieceTokenizer:
             self.slot.update((p, s) for p, s in zip(new, found[missing].tolist()) if len(p) <= CACHE_PIECE_BYTES)
         return found
 
+    def _cut_added(self, block: np.ndarray, cut: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Make every added token in a row a piece; a space before it ends what stands before."""
+        raw = block.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                end = at + len(token)
+                if end <= ends[np.searchsorted(starts, at, side="right") - 1]:
+                    if at and raw[at - 1] == 0x20:
+                        cut[at - 1] = False
+                    cut[at:end] = False
+                    cut[at] = cut[end] = True
+                    at = raw.find(token, end)
+                else:  # half of it in the next row
+                    at = raw.find(token, at + 1)
+
     def blocks(self, column):
         """Yield (first row, ids uint32, offsets int64 of the rows in ids) for blocks of rows.
 
@@ -171,6 +189,7 @@ class PieceTokenizer:
             letter[1:] |= (block[:-1] == 0xC3) & _LATIN[block[1:]]
             cut[1:-1] |= letter[:-1] & _MARK[block[1:]]
             cut[ends[ends > 0] - 1] &= block[ends[ends > 0] - 1] != 0x20  # a space that ends a row is no cut
+            self._cut_added(block, cut, starts, ends)
             cut[starts] = True
             cut[len(block)] = False
             edges = np.flatnonzero(cut).astype(np.int32)

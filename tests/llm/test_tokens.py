@@ -19,14 +19,12 @@ from factloom.llm.tokens import PieceTokenizer
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-ODD = ["", None, " ", "   ", "a", "a  b \n c ", "é, ç. ß! ×÷", "<|endoftext|> x", "don't ''s", "日本 語　x", "🎉 🎉", "x" * 5000, "one two " * 900, "\x1c \x1f a", "tie", "tie"]
+ODD = ["", None, " ", "   ", "a", "a  b \n c ", "é, ç. ß! ×÷", "<|endoftext|> x", "a <|endoftext|> b", "end  <|endoftext|><|endoftext|>word. <|endof", "text|>", "don't ''s", "日本 語　x", "🎉 🎉", "x" * 5000, "one two " * 900, "\x1c \x1f a", "tie", "tie"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +41,12 @@ def frame(spark, texts=ODD):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, start int")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "a", ".", "é", "word "]), max_size=8).map("".join), max_size=5))
+def test_added_tokens(pieces, library, texts):
+    assert ids_of(pieces, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list(" \n\t.,'!aeZé×÷ßñ1|s日🎉\xa0 ")), max_size=40), max_size=6))
 def test_pieces_give_the_ids_of_the_whole(pieces, library, texts):
