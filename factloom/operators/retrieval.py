@@ -16,6 +16,9 @@ from factloom.functions.temporal import AsOf, as_of
 from factloom.functions.text import token_cost, verbalize
 from factloom.operators.fulltext import bm25
 
+#: The largest number that a limit takes; every line costs 1 at least, so more never fit a result.
+MAX_ROWS = 2**31 - 1
+
 DEFAULT_BUDGET = 4096
 
 
@@ -52,7 +55,7 @@ def within_budget(ranked: DataFrame, budget: int = DEFAULT_BUDGET, cost: Column
     """The longest prefix of the ranking whose cost fits: rank, cost and running cost are added. The first
     line that does not fit ends it."""
     cost = token_cost(F.col("sentence")) if cost is None else cost
-    top = ranked.orderBy(F.desc("score"), F.desc("edge_id")).limit(max(0, budget))
+    top = ranked.orderBy(F.desc("score"), F.desc("edge_id")).limit(min(max(0, budget), MAX_ROWS))
     order = Window.orderBy(F.desc("score"), F.desc("edge_id"))
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = top.withColumn("cost", cost.cast("long")).withColumns({"rank": F.row_number().over(order), "used": F.sum("cost").over(run)})
@@ -80,7 +83,7 @@ def greedy_budget(edges: DataFrame, nodes: DataFrame, budget: int) -> tuple[Data
     words = lambda c: F.when(F.col(c).isNull(), 1).otherwise(F.size(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != "")))
     s = nodes.select(F.col("node_id").alias("subject_id"), F.col("name").alias("__s"))
     o = nodes.select(F.col("node_id").alias("object_id"), F.col("name").alias("__o"))
-    top = edges.orderBy("pos").limit(max(0, budget))
+    top = edges.orderBy("pos").limit(min(max(0, budget), MAX_ROWS))
     met = top.join(s, "subject_id", "left").join(o, "object_id", "left").withColumn("cost", words("__s") + words("__o") + 1)
     run = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     kept = met.withColumn("used", F.sum("cost").over(run)).filter(F.col("used") <= budget)

@@ -66,7 +66,7 @@ def test_resolution(engine):
     engine.add_memory("OpenAI", "hires", "Researchers", 1000)
     engine.add_memory("OpenAI", "based_in", "SF", 1000)
     dry = engine.resolve(0.9, dry_run=True)
-    assert dry["merged"] == 0 and [(c["keep"], c["drop"], c["score"]) for c in dry["candidates"]] == [(1, 3, 1.0)]
+    assert dry["merged"] == 0 and [(c["keep"], c["drop"], c["score"]) for c in dry["candidates"].collect()] == [(1, 3, 1.0)]
     assert engine.resolve(0.9)["merged"] == 1
     assert {(r.subject, r.object) for r in engine.facts().collect()} == {("OpenAI Inc.", "SF"), ("OpenAI Inc.", "Researchers")}
     engine.add_memory("OpenAI", "makes", "Tools", 2000)

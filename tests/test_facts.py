@@ -79,6 +79,32 @@ def test_against_model(spark, width):
     assert near == far
 
 
+def test_clock_that_steps_back(spark):
+    ops = [upsert(seq, seq, 10 * (seq - 1), tx=day * 86_400_000) for seq, day in enumerate((5, 5, 2, 8, 9, 10), 1)]
+    assert {e: s[1] for e, s in spans(spark, ops).items()} == {1: 10, 2: 20, 3: 30, 4: 40, 5: 50, 6: None}
+    assert spans(spark, ops) == model(ops)
+
+
+def test_bulk_load_of_one_key(spark, monkeypatch):
+    monkeypatch.setitem(facts.RANGES, "ingest_seq", 7)
+    ops = [upsert(seq, seq, (seq * 37) % 50, "unique" if seq % 3 else "append", tx=99) for seq in range(1, 60)]
+    assert spans(spark, ops) == model(ops)
+
+
+def test_overlaps_against_every_pair(spark):
+    draw = random.Random(8)
+    day, rows = 86_400_000, []
+    for edge in range(1, 160):
+        start = draw.randint(-50, 4000) * day // draw.choice([1, 7])
+        end = None if draw.random() < 0.2 else start + draw.choice([-day, 0, 1, day, 40 * day, 2000 * day, 90_000 * day])
+        rows.append((0, draw.choice("ab"), "p", edge, start, end))
+    top = 2**63 - 1
+    want = {(x[3], y[3]) for x in rows for y in rows if x[1] == y[1] and x[3] < y[3] and x[4] < (top if y[5] is None else y[5]) and y[4] < (top if x[5] is None else x[5])}
+    found = spark.createDataFrame(rows, "tenant long, subject string, predicate string, edge_id long, valid_from long, valid_to long")
+    pairs = [(r.a, r.b) for r in facts.overlapping_pairs(found).collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+
+
 def test_overlaps(spark):
     rows = [(1, 0, 100), (2, 50, 150), (3, 100, 200), (4, 120, None), (5, 500, None)]
     found = spark.createDataFrame([(0, "s", "p", *r) for r in rows], "tenant long, subject string, predicate string, edge_id long, valid_from long, valid_to long")
