@@ -5,7 +5,9 @@ stages the documents are written as Parquet and read again. All stages but the l
 ``documents``; the last returns the pieces of the packed sequences.
 
 Defined cases: an empty table passes through every stage; rows of a null doc_id are judged by their text
-like any other and never count as near duplicates; ``n_chars`` follows the text where lines are removed.
+like any other and never count as near duplicates; rows that repeat a doc_id are documents of their own,
+of which near-duplicate removal keeps or drops each by its text; of rows that repeat a doc_id and a text
+one stays; ``n_chars`` follows the text where lines are removed.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language, lines, minhash, packing, quality
-from factloom.llm._common import fresh_path, reachable
+from factloom.llm._common import fresh_path, materialize, reachable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,10 +41,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8)."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8), that of the smallest
+    doc_id. Rows are numbered first, as a doc_id may be that of several texts."""
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialize(docs.select(*COLUMNS, number.alias("row")), "rows")
+    found = minhash.near_duplicates(rows, words=5, percent=80, id_col="row")
+    placed = found.filter("doc_id is not null").select(F.col("doc_id").alias("row"), "component_id")
+    members = placed.join(rows.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("first"))
+    first = materialize(first.filter("n > 1").select("component_id", F.col("first.row").alias("stays")), "first rows")
+    gone = placed.join(first, "component_id").filter("row <> stays").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
