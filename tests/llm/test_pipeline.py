@@ -60,3 +60,11 @@ def test_near_copies_stay_once(spark):
     rows = [(1, base, "en", "s", 1), (2, base + " more", "en", "s", 1), (3, base, "en", "s", 1), (4, "other text", "en", "s", 1), (None, base, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or -1) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == [-1, 1, 4]
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    base, unlike = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(7, base + " more", "en", "s", 1), (1, base, "en", "s", 1), (7, unlike, "en", "s", 1), (9, unlike, "en", "s", 1), (9, unlike, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, base), (7, unlike)]
