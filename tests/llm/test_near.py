@@ -211,3 +211,25 @@ def test_embeddings(spark, monkeypatch, block):
     assert found.pop(None) == (0, None, True) and sum(links.values()) > 100
     assert found == {r[0]: (links.get(r[0], 0), want.get(r[0], r[0]), want.get(r[0], r[0]) == r[0]) for r in rows if r[0] is not None}
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_large_label(spark):
+    """20,000 vectors of one label take more signs and tables than few; links and components are whole."""
+    draw = np.random.default_rng(11)
+    base = draw.standard_normal((16_000, 24)).astype(np.float32)
+    near_base = base[:4_000] + (draw.standard_normal((4_000, 24)) * draw.choice([0.1, 0.2, 0.3], (4_000, 1))).astype(np.float32)
+    vectors = np.concatenate([base, near_base])
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    links = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.98).sum(axis=1) - 1 for i in range(0, len(unit), 1000)])
+    frame = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    assert links.sum() > 2_000 and len(found) == len(vectors)
+    assert [found[i][0] for i in range(len(vectors))] == links.tolist()
+    assert all(found[i + 16_000][1] == i for i in np.flatnonzero(links[:4_000]))
+
+
+def test_embedding_tables_leave_the_stated_miss():
+    for bits in (12, 20, embeddings.MOST_BITS):
+        meets = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert (1 - meets) ** embeddings.n_tables(bits, 0.98) <= embeddings.MISS
+    assert embeddings.n_tables(12, 0.98) == 20
