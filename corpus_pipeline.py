@@ -49,7 +49,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     placed = found.filter("doc_id is not null").select(F.col("doc_id").alias("row"), "component_id")
     members = placed.join(rows.select("row", "doc_id"), "row")
     first = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("first"))
-    first = materialize(first.filter("n > 1").select("component_id", F.col("first.row").alias("stays")), "first rows")
+    first = materialize(first.filter("n > 1").select("component_id", F.col("first.row").alias("stays")), "first-rows")
     gone = placed.join(first, "component_id").filter("row <> stays").select("row")
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
