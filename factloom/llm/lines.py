@@ -32,9 +32,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from factloom.llm import near
 from factloom.llm._common import bytes_view, drop_written, materialize, slices, sweep
@@ -61,13 +60,14 @@ BLOCK_BYTES = 1 << 18
 SEEN = 100_000
 #: Rows of a batch that are worked on at a time.
 ROWS = 500
+_BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _REPEAT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normal_line(line: str) -> bytes:
     """A line's normal form; empty if it is blank."""
-    return _LOWER[np.frombuffer(line.encode(), np.uint8)].tobytes().strip(b"\x20\x09\x0a\x0b\x0c\x0d")
+    return _LOWER[np.frombuffer(line.encode(), np.uint8)].tobytes().strip(_BLANK)
 
 
 def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -75,10 +75,11 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     if not len(data) or data.max() < 0x80:
         return data.astype(np.uint64), None
     begin = np.flatnonzero((data & 0xC0) != 0x80)
-    width = np.diff(np.append(begin, len(data)))
     codes = data[begin].astype(np.uint64)
+    wide = np.flatnonzero(codes >= 0xC0)
+    width = np.append(begin, len(data))[wide + 1] - begin[wide]
     for k in (1, 2, 3):
-        some = np.flatnonzero(width > k)
+        some = wide[width > k]
         codes[some] |= data[begin[some] + k].astype(np.uint64) << np.uint64(8 * k)
     return codes, begin
 
@@ -88,7 +89,8 @@ def _shingles(codes: np.ndarray) -> dict[int, np.ndarray]:
     out, size, factor = codes, 1, 0x9E3779B97F4A7C15
     found = {}
     while size < 8:
-        out = out[:-size] * np.uint64(factor) + out[size:] if len(out) > size else out[:0]
+        later, out = out[size:], out[:-size] * np.uint64(factor)
+        out += later
         size, factor = 2 * size, factor * factor % (1 << 64)
         found[size] = out
     return found
@@ -111,7 +113,7 @@ def _values(shingles: dict[int, np.ndarray], begins: np.ndarray, lengths: np.nda
     edges = np.concatenate([[0], np.cumsum(counts)])
     source = np.arange(edges[-1]) + np.repeat(begins - edges[:-1], counts)
     have = shingles[size]
-    own = have[np.minimum(source, len(have) - 1)] if len(have) else np.zeros(len(source), np.uint64)
+    own = have.take(source, mode="clip") if len(have) else np.zeros(len(source), np.uint64)
     short = np.flatnonzero(lengths < size)
     own[edges[short]] = whole[short]
     own = near.mix(own)
@@ -194,14 +196,18 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def block_lines(block, bounds, seen):
         """Which lines of a block are not blank, and their columns from node on."""
-        block = _LOWER[block]
-        visible = np.flatnonzero(~_SPACE[block])
-        lo, hi = np.searchsorted(visible, bounds[:-1]), np.searchsorted(visible, bounds[1:])
-        some = np.flatnonzero(hi > lo)
+        raw = block.tobytes().lower()  # bytes: A-Z only
+        block = np.frombuffer(raw, np.uint8)
+        begins, ends = bounds[:-1].copy(), bounds[1:] - (block[bounds[1:] - 1] == 0x0A)
+        ragged = np.flatnonzero(_SPACE[block[begins]] | _SPACE[block[np.maximum(ends, 1) - 1]] | (begins >= ends))
+        for k in ragged.tolist():
+            line = raw[begins[k] : ends[k]]
+            begins[k] += len(line) - len(line.lstrip(_BLANK))
+            ends[k] = begins[k] + len(line.strip(_BLANK))
+        some = np.flatnonzero(ends > begins)
         if not len(some):
             return None
-        begins, ends = visible[lo[some]], visible[hi[some] - 1] + 1
-        raw = block.tobytes()
+        begins, ends = begins[some], ends[some]
         texts = [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist())]
         n = len(texts)
         first = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, n)
@@ -265,16 +271,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone
 
 
-@F.arrow_udf(StringType())
-def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
-    """Texts without the lines of the given numbers."""
-    out = []
-    for whole, numbers in zip(text.to_pylist(), gone.to_pylist()):
-        if whole is not None and numbers:
-            numbers = set(numbers)
-            whole = "\n".join(line for k, line in enumerate(whole.split("\n")) if k not in numbers)
-        out.append(whole)
-    return pa.array(out, pa.string())
+def _without(text: Column, gone: Column) -> Column:
+    """A text without the lines of the given numbers, in one pass over its lines: what lies between one
+    number and the next is kept as a slice."""
+
+    def joined(x: Column) -> Column:
+        lines, numbers = x["lines"], x["numbers"]
+
+        def between(k: Column) -> Column:
+            before, after = F.coalesce(F.get(numbers, k - 1), F.lit(-1)), F.coalesce(F.get(numbers, k), F.size(lines))
+            return F.slice(lines, before + 2, after - before - 1)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(numbers)), between)), "\n")
+
+    once = F.struct(F.split(text, "\n").alias("lines"), F.sort_array(gone).alias("numbers"))
+    return F.get(F.transform(F.array(once), joined), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
@@ -283,7 +294,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.withColumn("__own_th", F.xxhash64(text_col))
     met = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_th") == F.col("__th")), "left")
     some = F.col("__gone").isNotNull()
-    changed = _without(F.when(some, F.col(text_col)), "__gone")  # other texts stay out of Python
+    changed = F.when(some, _without(F.col(text_col), F.col("__gone")))
     n_removed = F.when(some, F.size("__gone")).otherwise(0).cast("long")
     return met.withColumns({text_col: F.coalesce(changed, F.col(text_col)), count_col: n_removed}).drop("__id", "__th", "__own_th", "__gone")
 

@@ -69,11 +69,12 @@ def n_words(hashes: int) -> int:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose bits all depend on all bits (the murmur finalizer)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    out = x >> np.uint64(33)
+    out ^= x
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out *= np.uint64(factor)
+        out ^= out >> np.uint64(33)
+    return out
 
 
 def pack_bits(minima: np.ndarray) -> np.ndarray:
