@@ -169,6 +169,25 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _by_byte(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Sorted numbers between bounds as binary values: the first bytes of all, the second bytes of all, and
+    so on, as shuffle files compress the upper bytes then."""
+    data = np.empty((len(values), 8), np.uint8)
+    raw = values.view(np.uint8).reshape(-1, 8)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        data[a:b].reshape(8, b - a)[:] = raw[a:b].T
+    return _packed(data.reshape(-1).view(np.uint64), bounds)
+
+
+def _from_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_flat` returns, of a column of :func:`_by_byte`."""
+    values, counts = _flat(column)
+    own = values.copy()
+    for b, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+        own[b - n : b].view(np.uint8).reshape(n, 8)[:] = values[b - n : b].view(np.uint8).reshape(8, n).T
+    return own, counts
+
+
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     fresh = np.ones(len(sorted_values), bool)
@@ -193,7 +212,7 @@ def _deal(parts: int, bands: str):
         part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         number = np.arange(parts, dtype=np.int32)
-        columns = [pa.array(number), pa.array(np.full(parts, file, np.int32)), _packed(keys, bounds), _packed(nodes, bounds)]
+        columns = [pa.array(number), pa.array(np.full(parts, file, np.int32)), _by_byte(keys, bounds), _packed(nodes, bounds)]
         batch = pa.RecordBatch.from_arrays(columns, names=["part", "file", "keys", "nodes"])
         yield batch.filter(pa.array(np.diff(bounds) > 0))
 
@@ -232,7 +251,7 @@ def _heads(batches):
     """Dealt keys of one task to (file, keys, heads): those of a file's keys that hold several nodes."""
     held = []
     for batch in batches:
-        keys, counts = _flat(batch.column(2))
+        keys, counts = _from_bytes(batch.column(2))
         nodes, _ = _flat(batch.column(3), np.int64)
         held.append((keys, nodes, np.repeat(batch.column(1).to_numpy(), counts)))
     if not held:
