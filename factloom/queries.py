@@ -621,8 +621,24 @@ _SOURCES = [
 ]
 
 
-@query(None)
+_PARSED_SQL = f"""SELECT source, error, similar_to, CAST(valid_time AS VARCHAR) AS valid_time, CAST(tx_time AS VARCHAR) AS tx_time,
+  CAST(depth AS VARCHAR) AS depth, CAST(budget AS VARCHAR) AS budget, CAST(cite AS VARCHAR) AS cite, names
+FROM (VALUES
+  ('', NULL, NULL, {MAX}, {MAX}, NULL, NULL, false, ''),
+  ('{QUESTION}', NULL, 'user 8 purchase', {AT}, {MAX}, NULL, 40, true, ''),
+  ('MATCH (n) RETURN n', NULL, NULL, {MAX}, {MAX}, NULL, NULL, false, 'n'),
+  ('AS OF TRANSACTION TIME 42 RETURN CONTEXT(cite = false)', NULL, NULL, {MAX}, 42, NULL, NULL, false, ''),
+  ('MATCH ( <bad', 'query error: unexpected ''<'' at 8', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('AS OF VALID TIME 5 WHERE SIMILAR(n,"x") RETURN CONTEXT(cite=true)', NULL, NULL, 5, {MAX}, NULL, NULL, false, ''),
+  ('WHERE foo = 3 AND SIMILAR(n,"x") RETURN n', NULL, 'x', {MAX}, {MAX}, NULL, NULL, false, 'n'),
+  ('MATCH (u:User) RETURN u', 'query error: unexpected '':'' at 8', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  ('TRAVERSE SEMANTIC(depth <= -1, budget = -3)', NULL, NULL, {MAX}, {MAX}, 4294967295, 0, false, '')
+) AS t(source, error, similar_to, valid_time, tx_time, depth, budget, cite, names)"""
+
+
+@query(_PARSED_SQL)
 def parsed_query_matrix(spark, sf_dir):
+    """What the parser makes of some texts; numbers and flags as text, null where there is none."""
     rows = []
     for source in _SOURCES:
         try:
@@ -631,7 +647,7 @@ def parsed_query_matrix(spark, sf_dir):
             rows.append((source, None, q.similar_to, at.valid_time, at.tx_time, q.max_depth, q.budget, q.cite, ",".join(q.return_names)))
         except QueryError as error:
             rows.append((source, str(error), None, None, None, None, None, None, None))
-    return spark.createDataFrame(rows, "source string, error string, similar_to string, valid_time long, tx_time long, depth long, budget long, cite boolean, names string")
+    return spark.createDataFrame(rows, "source string, error string, similar_to string, valid_time long, tx_time long, depth long, budget long, cite boolean, names string").selectExpr("source", "error", "similar_to", *[f"cast({c} as string) as {c}" for c in ("valid_time", "tx_time", "depth", "budget", "cite")], "names")
 
 
 def answer_question(spark: SparkSession, sf_dir: str) -> DataFrame:

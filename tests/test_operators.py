@@ -180,3 +180,22 @@ def test_streams(spark, tmp_path):
     out.awaitTermination()
     assert {r.edge_id: r.invalidated_by for r in spark.sql("select * from closed").collect()} == {1: 3, 2: 3, 3: 6, 4: 6, 5: 6, 6: 9, 7: 9, 8: 9}
     assert ingest.windowed_counts(stream).isStreaming
+
+
+def test_pairs_above_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    draw = random.Random(5)
+    rows = [(k, [draw.gauss(0, 1) for _ in range(draw.choice([3, 4]))]) for k in range(40)]
+    rows += [(40, [0.0] * 4), (41, None), (42, [1.0, None, 2.0]), (43, [float("nan")] * 4), (44, [float("inf"), 1.0]), (45, []), (46, rows[0][1]), (None, rows[0][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        length = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+
+    whole = [r for r in rows if r[0] is not None and r[0] not in (41, 42, 43, 44)]
+    for least in (0.6, -0.5):
+        want = {(q, k): round(cosine(a, b), 9) for q, a in whole if q % 2 == 0 for k, b in whole if q != k and cosine(a, b) >= least}
+        found = vector.pairs_above(table, table.filter("vec_id % 2 = 0"), least).collect()
+        assert len(found) == len(want) and {(r["query"], r["vec_id"]): round(r["score"], 9) for r in found} == want
+    assert vector.pairs_above(table.limit(0), table, 0.5).count() == 0
