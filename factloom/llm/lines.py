@@ -55,7 +55,8 @@ class Kind(NamedTuple):
 #: are short. Bands miss a pair at the threshold with 7.3e-5 and 1.3e-4.
 KINDS = (Kind(4, 0, 100, 5, 24), Kind(8, 80, None, 4, 17))
 PERCENT = 80
-BLOCK_BYTES = 1 << 18
+#: Bytes of text whose features are worked out at a time (more where one line has more): arrays that fit the cache.
+BLOCK_BYTES = 1 << 16
 #: Lines that a task remembers, to work out the features of a repeated one once.
 SEEN = 100_000
 #: Rows of a batch that are worked on at a time.
@@ -77,7 +78,7 @@ def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     begin = np.flatnonzero((data & 0xC0) != 0x80)
     codes = data[begin].astype(np.uint64)
     wide = np.flatnonzero(codes >= 0xC0)
-    width = np.append(begin, len(data))[wide + 1] - begin[wide]
+    width = np.where(wide + 1 < len(begin), begin.take(wide + 1, mode="clip"), len(data)) - begin[wide]
     for k in (1, 2, 3):
         some = wide[width > k]
         codes[some] |= data[begin[some] + k].astype(np.uint64) << np.uint64(8 * k)
