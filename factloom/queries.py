@@ -585,9 +585,10 @@ SELECT edge_id, subject_id, object_id FROM numbered WHERE NOT touched OR n = 1""
 
 
 def _merged(spark, sf_dir, compat):
-    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey + 1 as edge_id", "cast(0 as long) as tenant", "p_partkey as subject_id", "cast(1 as long) as predicate_id", "1000000 + cast(substr(p_brand, 7) as long) as object_id", "cast(0 as long) as valid_from")
+    """Brands are nodes of their own, below zero while parts are merged: a part's key may be any number from zero on."""
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey + 1 as edge_id", "cast(0 as long) as tenant", "p_partkey as subject_id", "cast(1 as long) as predicate_id", "-(1000000 + cast(substr(p_brand, 7) as long)) as object_id", "cast(0 as long) as valid_from")
     labels = resolution.survivors(resolution.resolution_links(_entities(spark, sf_dir), 0.9))
-    return resolution.merge_facts(rows, labels, compat).select("edge_id", "subject_id", "object_id")
+    return resolution.merge_facts(rows, labels, compat).select("edge_id", "subject_id", (-F.col("object_id")).alias("object_id"))
 
 
 @query(f"WITH {_MERGE_SQL.replace('@ORDER@', 'touched, edge_id')}")

@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factloom import queries
 from factloom.config import ScoringWeights
 from factloom.errors import StorageError
 from factloom.functions import text
@@ -76,6 +78,18 @@ def test_merge_keeps_untouched(spark):
     assert resolution.merged_count(labels) == 1
 
 
+@pytest.mark.parametrize("name", ["merge_facts_scan_order"])
+def test_merge_with_part_keys_in_the_brands_range(spark, tmp_path, name):
+    """Part keys from 1,000,000 on once took the brands' ids for parts that gave way."""
+    keys = [0, 1, 2, 255, 256, *range(1_000_000, 1_000_030)]
+    rows = [(k, ("red bolt", "old ring")[k % 2], f"Brand#{k % 3 + 1}") for k in keys]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name]).fetchall()
+    assert sorted(map(tuple, queries.SPARK[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, round(r.score, 6)) for r in vector.knn(rows, [1, 0], 2).collect()] == [(1, 1.0), (3, 0.993884)]
