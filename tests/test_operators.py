@@ -78,7 +78,7 @@ def test_merge_keeps_untouched(spark):
     assert resolution.merged_count(labels) == 1
 
 
-@pytest.mark.parametrize("name", ["merge_facts_scan_order"])
+@pytest.mark.parametrize("name", ["merge_facts", "merge_facts_scan_order"])
 def test_merge_with_part_keys_in_the_brands_range(spark, tmp_path, name):
     """Part keys from 1,000,000 on once took the brands' ids for parts that gave way."""
     keys = [0, 1, 2, 255, 256, *range(1_000_000, 1_000_030)]
