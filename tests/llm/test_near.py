@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import components, embeddings, lines, minhash, near
@@ -107,6 +108,29 @@ def test_components(spark):
     assert found == {x: c for x, c in want.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    draw = random.Random(14)
+    edges = [(draw.randrange(-200, 200), draw.randrange(-200, 200)) for _ in range(150)]
+    want = groups({x for e in edges for x in e}, lambda a, b: (a, b) in edges or (b, a) in edges)
+    want = {x: c for x, c in want.items() if any(x in e and e[0] != e[1] for e in edges)}
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    found = lambda: {r.node: r.component for r in components.connected_components(rows).collect()}
+    monkeypatch.setattr(components, "TASK_EDGES", 7)
+    assert found() == want
+    monkeypatch.setattr(components, "TASK_EDGES", 1000)
+    monkeypatch.setattr(components, "_star", None)
+    assert found() == want and components.connected_components(rows.limit(0)).count() == 0
+
+
+def test_band_keys_travel_in_six_bytes():
+    keys = np.sort(near.band_keys(np.random.default_rng(15).integers(0, 1 << 63, (5000, 20)).astype(np.uint64), 4).ravel())
+    assert len(np.unique(keys)) == 20000
+    dealt = near._by_byte(keys, np.array([0, 20000]))
+    assert len(pa.compress(dealt.buffers()[2], codec="lz4_raw", asbytes=True)) < 5.5 * len(keys)
+    back, counts = near._from_bytes(dealt)
+    assert back.tolist() == keys.tolist() and counts.tolist() == [20000]
+
+
 def test_lines(spark):
     draw = random.Random(5)
     base = ["The quick brown fox jumps over the lazy dog near the river bank at noon", "Zu und die aus der ganzen Stadt kommen heute alle Leute hier an", "short", "tiny"]
