@@ -18,6 +18,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,14 +114,15 @@ def minima(values: np.ndarray, edges: np.ndarray, hashes: int) -> np.ndarray:
 
 def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table, one row per document: node (its id), n (set size), f1, f2 (128-bit digest of the
-    set, null if empty), s0.. (packed low bits), bands."""
+    set, null if empty), s0.. (packed low bits), bands, unit (the number of the task), text."""
     bands = near.n_bands(percent / 100)
     hashes = bands * near.ROWS
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
 
     def run(batches):
+        unit = TaskContext.get().partitionId()
         for batch in batches:
-            keys = batch.column(0)
+            keys, texts = batch.columns
             data, offsets = bytes_view(batch.column(1))
             for i, j in slices(offsets, BLOCK_BYTES):
                 values, edges = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
@@ -137,10 +139,11 @@ def features(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id",
                 keys_of = near.key_column(near.band_keys(least[some], bands), some, j - i)
                 bits = near.pack_bits(least).view(np.int64)
                 columns = [keys.slice(i, j - i), pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64), mask=none) for x in (first, second)), *(pa.array(bits[:, k]) for k in range(len(sig))), keys_of]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "f1", "f2", *sig, "bands"])
+                columns += [pa.array(np.full(j - i, unit, np.int32)), texts.slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "f1", "f2", *sig, "bands", "unit", "text"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    schema = "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands binary"
+    schema = "node long, n long, f1 long, f2 long, " + "".join(f"{s} long, " for s in sig) + "bands binary, unit int, text string"
     return materialize(chosen, "features", through=run, schema=schema)
 
 
@@ -152,15 +155,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = found.filter("n > 0 and node is not null")
     classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")), "classes")
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
-    reps = full.select("node", "n", "f1", "f2", *sig, "bands").join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n"), ["node", "f1", "f2", "n"], "left_semi").dropDuplicates(["node", "f1", "f2"])
-    reps = materialize(reps.select("node", *sig, "bands"), "representatives")
+    reps = full.select("node", "n", "f1", "f2", *sig, "bands", "unit").join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n"), ["node", "f1", "f2", "n"], "left_semi").dropDuplicates(["node", "f1", "f2"])
+    reps = materialize(reps.select("node", *sig, "bands", "unit"), "representatives")
     sweep(docs.sparkSession)
 
     def texts(nodes: DataFrame) -> DataFrame:
-        own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-        return own.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return near.taken(found, nodes, "text")
 
-    labels = connected_components(near.link(reps, texts, partial(text_sets, words=words), percent, hashes))
+    labels = connected_components(near.link(reps, texts, partial(text_sets, words=words), percent, hashes, carried=("unit",)))
     named = found.select(F.col("node").alias("doc_id"), "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     named = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return named.select(

@@ -131,6 +131,26 @@ def test_band_keys_travel_in_six_bytes():
     assert back.tolist() == keys.tolist() and counts.tolist() == [20000]
 
 
+def test_texts_are_taken_from_the_files_of_features(spark, monkeypatch):
+    """Texts of documents that share a bucket with no other once were dealt out to find the others."""
+    rows = [(i, f"{'same words ' * 3}{i % 40} " + " ".join(f"w{i % 40}x{k}" for k in range(30)), i) for i in range(80)] + [(None, "no id at all", 0), (90, None, 0), (91, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(3)
+    plans, plain = [], near.materialize
+
+    def spied(df, name, *a, **k):
+        if name == "texts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *a, **k)
+
+    monkeypatch.setattr(near, "materialize", spied)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=3, percent=50).collect()}
+    assert found == {None: None, 90: 90, 91: 91} | {i: i % 40 for i in range(80)}
+    assert plans and not any("Join" in p for p in plans)
+    table = minhash.features(docs, 3, 50)
+    wanted = table.filter("node % 3 = 0").select("node", "unit")
+    assert {r.node: r.text for r in near.taken(table, wanted.union(wanted), "text").collect()} == {i: t for i, t, _ in rows if i is not None and i % 3 == 0}
+
+
 def test_lines(spark):
     draw = random.Random(5)
     base = ["The quick brown fox jumps over the lazy dog near the river bank at noon", "Zu und die aus der ganzen Stadt kommen heute alle Leute hier an", "short", "tiny"]
