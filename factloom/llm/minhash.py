@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = found.filter("n > 0 and node is not null")
     classes = materialize(full.groupBy("f1", "f2", "n").agg(F.min("node").alias("rep")), "classes")
     sig = [f"s{i}" for i in range(near.n_words(hashes))]
-    reps = full.select("node", "n", "f1", "f2", *sig, "bands", "unit").join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n"), ["node", "f1", "f2", "n"], "left_semi").dropDuplicates(["node", "f1", "f2"])
+    reps = full.select("node", "n", "f1", "f2", *sig, "bands", "unit").join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n"), ["node", "f1", "f2", "n"], "left_semi").dropDuplicates(["node", "f1", "f2", "n"])
     reps = materialize(reps.select("node", *sig, "bands", "unit"), "representatives")
     sweep(docs.sparkSession)
 

@@ -151,6 +151,43 @@ def test_texts_are_taken_from_the_files_of_features(spark, monkeypatch):
     assert {r.node: r.text for r in near.taken(table, wanted.union(wanted), "text").collect()} == {i: t for i, t, _ in rows if i is not None and i % 3 == 0}
 
 
+def test_verification_looks_texts_up_in_their_files(spark, monkeypatch):
+    """Joins with the written texts once dealt out all of them, as soon as they were too many to broadcast."""
+    draw = random.Random(16)
+    words = [[f"w{k}x{draw.random()}" for k in range(40)] for _ in range(4)]
+    texts = {i: " ".join([*words[i % 4][:-1], f"own{i % 90}"]) for i in range(240)} | {300 + i: " ".join(words[i % 4][: 22 + i % 18]) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    plans, plain = {}, near.materialize
+
+    def spied(df, name, *a, **k):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *a, **k)
+
+    monkeypatch.setattr(near, "materialize", spied)
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "BLOCK", 7)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+    sets = {k: plain_set(t, 3) for k, t in texts.items()}
+    assert found == groups(sets, lambda a, b: alike_sets(sets[a], sets[b], 85))
+    assert len(plans["tested"]) == 2 and len(plans["blocks"]) == 1
+    assert not [p for name in ("tested", "blocks") for p in plans[name] if re.search(r"FileScan parquet \[[^\]]*text#", p)]
+
+
+@pytest.mark.parametrize("most,held", [(1 << 18, 1 << 20), (3, 1 << 20), (1 << 18, 10)])
+def test_rows_take_the_text_of_their_node(spark, monkeypatch, most, held):
+    texts = {i: None if i == 9 else "" if i == 12 else f"text {i} " * (i % 5 + 1) for i in range(40)}
+    table = near.materialize(spark.createDataFrame([*texts.items(), (None, "no node")], "node long, text string").coalesce(1), "some")
+    (path,) = table.inputFiles()
+    monkeypatch.setattr(near, "TAKEN", most)
+    monkeypatch.setattr(near, "HELD", held)
+    rows = [(0, i * 7 % 20 + 3, i) for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 8]), (pa.int32(), pa.int64(), pa.int32()))], names=["unit", "node", "at"]) for k in range(0, 50, 8)]
+    made = [*near._take({0: path}, "text")(batches)]
+    assert sorted((a, n, t) for b in made for n, a, t in zip(*(c.to_pylist() for c in b.columns))) == [(a, n, texts[n]) for _, n, a in rows]
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(2).to_pylist()) <= held for b in made)
+    assert len(made) > 1 or most > 3 and held > 10
+
+
 def test_lines(spark):
     draw = random.Random(5)
     base = ["The quick brown fox jumps over the lazy dog near the river bank at noon", "Zu und die aus der ganzen Stadt kommen heute alle Leute hier an", "short", "tiny"]
